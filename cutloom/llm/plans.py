@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutloom.common import latest, table, whole_ms
+from cutloom.llm.leaks import leaks
 from cutloom.llm.runs import collapse_runs, label_key
+from cutloom.llm.subjects import area_of_label, document_areas, mine_rules
+from cutloom.llm.tokens import encode_corpus
 from cutloom.llm.turns import speaker_turns
 
 #: p3: an event further than this from its predecessor starts a new run; runs of fewer events are no cases.
@@ -41,6 +44,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_runs(spark, sf_dir).where(F.col("n_events") >= LEAST_RUN).select("reel_id", "first_line_id", "last_line_id", "n_events")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    codes = sorted(r[0] for r in table(spark, sf_dir, "subject_areas").select("area_code").distinct().collect())
+    labels = table(spark, sf_dir, "subject_labels").select("doc_id", area_of_label(F.col("area_label"), codes).alias("area"))
+    return document_areas(docs, mine_rules(docs, labels, codes)).select("doc_id", "area_code")
+
+
 def _label_sql(column: str) -> str:
     text = f"regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
     text = f"regexp_replace({text}, '([0-9]+)', ' \\1 ', 'g')"
@@ -65,7 +83,7 @@ SELECT reel_id, arg_min(line_id, (s, line_id)) first_line_id, arg_max(line_id, (
     min(s) start_ms, max(e) - min(s) duration_ms, count(*) n_events
 FROM numbered GROUP BY reel_id, run"""
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_runs": p3_runs}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_runs": p3_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE = {
     "p3_runs": P3_RUNS_SQL,
     "p3_found": f"SELECT reel_id, first_line_id, last_line_id, n_events FROM ({P3_RUNS_SQL}) WHERE n_events >= {LEAST_RUN}",
