@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutloom.common import latest, table, whole_ms
+from cutloom.llm.clusters import describe_clusters, similarity_clusters
 from cutloom.llm.leaks import leaks
+from cutloom.llm.neighbours import similar_vectors
 from cutloom.llm.runs import collapse_runs, label_key
 from cutloom.llm.subjects import area_of_label, document_areas, mine_rules
 from cutloom.llm.tokens import encode_corpus
 from cutloom.llm.turns import speaker_turns
 
+#: p1, p5: table, its key, dimensions of its embeddings.
+VECTORS = (("voice_inputs", "clip_id", 192), ("face_observations", "face_id", 256))
+#: p1: least cosine of a pair.
+LEAST_COSINE = 0.95
 #: p3: an event further than this from its predecessor starts a new run; runs of fewer events are no cases.
 MAX_GAP_MS, LEAST_RUN = 20_000, 3
 
@@ -22,6 +28,35 @@ def _lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.where("reel_id IS NOT NULL AND start_sec >= 0 AND NOT isnan(start_sec)").withColumn("start_ms", whole_ms("start_sec"))
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar others of every usable record."""
+    parts = [similar_vectors(table(spark, sf_dir, name), key, "embedding", dim, "ingested_at").select(F.lit(name).alias("source_table"), F.col(key).alias("key"), "neighbour", "similarity", "rank") for name, key, dim in VECTORS]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, key, dim in VECTORS:
+        near = similar_vectors(table(spark, sf_dir, name), key, "embedding", dim, "ingested_at", least=LEAST_COSINE)
+        parts.append(near.select(F.lit(name).alias("source_table"), F.least(key, "neighbour").alias("key_a"), F.greatest(key, "neighbour").alias("key_b")).distinct())
+    return parts[0].unionByName(parts[1])
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
+    return [(name, key, similarity_clusters(table(spark, sf_dir, name), key, "embedding", dim, "ingested_at")) for name, key, dim in VECTORS]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [found.select(F.lit(name).alias("source_table"), F.col(key).alias("member_key"), F.col("cluster").alias("cluster_key")) for name, key, found in _clusters(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each cluster its size and its most typical members."""
+    parts = [describe_clusters(found, key).select(F.lit(name).alias("source_table"), F.col("cluster").alias("cluster_key"), "size", "typical") for name, key, found in _clusters(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
 def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir, "project_id", "text", "diarized_speaker", "speaker")
     return speaker_turns(lines, table(spark, sf_dir, "speakers"))
@@ -83,7 +118,7 @@ SELECT reel_id, arg_min(line_id, (s, line_id)) first_line_id, arg_max(line_id, (
     min(s) start_ms, max(e) - min(s) duration_ms, count(*) n_events
 FROM numbered GROUP BY reel_id, run"""
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_runs": p3_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p5_found": p5_found, "p5_clusters": p5_clusters, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_runs": p3_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE = {
     "p3_runs": P3_RUNS_SQL,
     "p3_found": f"SELECT reel_id, first_line_id, last_line_id, n_events FROM ({P3_RUNS_SQL}) WHERE n_events >= {LEAST_RUN}",
