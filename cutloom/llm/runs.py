@@ -14,12 +14,12 @@ ABBREVIATIONS = {"spk": "speaker", "spkr": "speaker"}
 
 def label_key(label: Column, abbreviations: dict[str, str] = ABBREVIATIONS) -> Column:
     """A label without case, separators, padding and abbreviation; null where no letter or digit is left."""
-    text = F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]+", " ")
-    text = F.regexp_replace(text, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " ")
-    text = F.regexp_replace(text, r"\b0+(?=\p{N})", "")
+    text = F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]++", "")
+    text = F.when(text.contains("0"), F.regexp_replace(text, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(text)
+    whole = text
     for short, word in abbreviations.items():
-        text = F.regexp_replace(text, rf"\b{short}\b", word)
-    return F.nullif(F.regexp_replace(text, " +", ""), F.lit(""))
+        whole = F.when(text.rlike(rf"^{short}(?:[0-9]|$)"), F.concat(F.lit(word), F.substring(text, len(short) + 1, 1_000_000))).otherwise(whole)
+    return F.nullif(whole, F.lit(""))
 
 
 def collapse_runs(df: DataFrame, entity: str, at: str, key: str, same: list[str], max_gap: int | None = None, weight: str | None = None, until: str | None = None, shard: int = SHARD_MS) -> DataFrame:
