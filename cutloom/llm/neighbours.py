@@ -178,10 +178,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
     vectors = total_vectors.join(others, key, "left_anti")
 
     count = df.select(F.approx_count_distinct(key)).first()[0]
-    router = Router(sample(vectors, key, SAMPLE, dim)[1], 1) if count <= PART else None
-    if router is None:
-        _, x = sample(vectors, key, SAMPLE, dim)
-        router = Router(x, max(1, min(-(-count // PART), len(x) // LEAST_SAMPLE)))
+    x = sample(packed(df, key, vector, dim, version), key, version, SAMPLE, dim, count)
+    router = Router(x, max(1, min(-(-count // PART), len(x) // LEAST_SAMPLE)))
     blocks = np.maximum(1, np.ceil(router.share * count / BLOCK)).astype(int)
     sent = df.sparkSession.sparkContext.broadcast((router, blocks))
     kind = dict(df.dtypes)[key]

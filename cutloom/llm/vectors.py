@@ -57,7 +57,29 @@ def newest_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str)
     return latest(packed(df, key, vector, dim, version), key, version, ["vec"]).where("vec IS NOT NULL")
 
 
-def sample(vectors: DataFrame, key: str, size: int, dim: int) -> tuple[list, np.ndarray]:
-    """At most `size` vectors, chosen by the hash of the key."""
-    got = vectors.select(key, "vec").orderBy(F.xxhash64(key), key).limit(size).toArrow()
-    return got.column(0).to_pylist(), (unpack(got.column(1), dim) if len(got) else np.empty((0, dim), np.float32))
+def pack_coarse(x: np.ndarray) -> pa.Array:
+    """Rows of unit length as int8 bytes; a cosine is off by some 1e-3."""
+    codes = np.rint(x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-12) * 127).astype(np.int8)
+    return pa.array([row.tobytes() for row in codes], pa.binary())
+
+
+def unpack_coarse(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
+
+
+def sample(rows: DataFrame, key: str, version: str, size: int, dim: int, keys: int) -> np.ndarray:
+    """At most `size` newest vectors of a share of the keys, chosen by the keys' hash so that about that many come.
+
+    rows: packed, every version; keys: how many keys there are, roughly. All versions of a chosen key are looked at.
+    """
+    share = min(1.0, size / max(1, keys))
+    chosen = rows.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
+    best: dict = {}
+    got = chosen.select(key, version, "vec").toArrow()
+    for k, v, x in zip(*(got.column(i).to_pylist() for i in range(3))):
+        if k not in best or (best[k][0] is None and v is not None) or (v is not None and (v, x or b"") > (best[k][0], best[k][1] or b"")):
+            best[k] = (v, x)
+    kept = [best[k][1] for k in sorted(best, key=str) if best[k][1] is not None][:size]
+    return unpack(pa.array(kept, pa.binary()), dim) if kept else np.empty((0, dim), np.float32)
