@@ -1,0 +1 @@
+"""Readers and writers of manifests, transcripts, cut lists and image sequences."""
