@@ -171,12 +171,12 @@ def assign_scenes(shots: DataFrame, by: list[str], order: list[str], score: str,
     return shots.withColumn("scene", F.lit(1) + F.coalesce(F.sum((F.col(score) >= threshold).cast("int")).over(w), F.lit(0)))
 
 
-def scene_rollup(shots: DataFrame, by: list[str], order: list[str], score: str) -> DataFrame:
-    """Scenes: first start, last end, shots in order, score of the last shot rounded to four places."""
+def scene_rollup(shots: DataFrame, by: list[str], order: list[str], score: str, places: int = 4) -> DataFrame:
+    """Scenes: first start, last end, shots in order, score of the last shot rounded to so many places."""
     item = F.struct(*order, F.col("shot_id").alias("__id"), F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"), F.col(score).alias("__score"))
     rows = shots.groupBy(*by, "scene").agg(F.array_sort(F.collect_list(item)).alias("x"))
     last = F.element_at("x", -1)
-    return rows.select(*by, "scene", F.format_string("%03d", F.col("scene").cast("int")).alias("scene_id"), F.size("x").alias("shot_count"), F.get("x", F.lit(0))["__s"].alias("scene_start"), last["__e"].alias("scene_end"), F.array_join(F.transform("x", lambda r: r["__id"]), " ").alias("shot_ids"), F.round(last["__score"], 4).alias("boundary_score"))
+    return rows.select(*by, "scene", F.format_string("%03d", F.col("scene").cast("int")).alias("scene_id"), F.size("x").alias("shot_count"), F.get("x", F.lit(0))["__s"].alias("scene_start"), last["__e"].alias("scene_end"), F.array_join(F.transform("x", lambda r: r["__id"]), " ").alias("shot_ids"), F.round(last["__score"], places).alias("boundary_score"))
 
 
 def rolling_mean(df: DataFrame, by: list[str], order: list[str], value: str, width: int, name: str) -> DataFrame:

@@ -196,7 +196,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 SCENES = f"""{SHOTS}, sc AS (SELECT *, round((end_ms - start_ms) / 19997, 6) score FROM sh),
     asg AS (SELECT *, 1 + coalesce(sum(CASE WHEN score >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY reel_id ORDER BY start_ms, shot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) scene FROM sc),
     rol AS (SELECT reel_id, scene, lpad(CAST(scene AS VARCHAR), CAST(greatest(3, length(CAST(scene AS VARCHAR))) AS INTEGER), '0') scene_id, count(*) shot_count, arg_min(start_ms, (start_ms, shot_id)) scene_start, arg_max(end_ms, (start_ms, shot_id)) scene_end,
-    string_agg(shot_id, ' ' ORDER BY start_ms, shot_id) shot_ids, round(arg_max(score, (start_ms, shot_id)), 4) boundary_score FROM asg GROUP BY 1, 2)"""
+    string_agg(shot_id, ' ' ORDER BY start_ms, shot_id) shot_ids, round(arg_max(score, (start_ms, shot_id)), 6) boundary_score FROM asg GROUP BY 1, 2)"""
 
 
 @query("scene_assign", f"WITH {SCENES} SELECT shot_id, reel_id, scene FROM asg")
@@ -206,7 +206,7 @@ def scene_assign(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scene_rollup", f"WITH {SCENES} SELECT reel_id, scene, scene_id, shot_count, scene_start, scene_end, shot_ids, boundary_score FROM rol")
 def scene_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return sq.scene_rollup(_scored(spark, d), ["reel_id"], ["start_ms", "shot_id"], "score")
+    return sq.scene_rollup(_scored(spark, d), ["reel_id"], ["start_ms", "shot_id"], "score", 6)
 
 
 @query(
