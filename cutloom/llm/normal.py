@@ -8,12 +8,12 @@ import unicodedata
 
 CLOCK = r"\d{1,3}:\d{2}:\d{2}(?:[:;.,]\d{1,3})?"
 CUE = re.compile(rf"(?:(?<!\S)\d+[ \t]*\r?\n[ \t]*)?{CLOCK}\s*-->\s*{CLOCK}")
-TIME = re.compile(rf"[\[(<{{]?{CLOCK}[\])>}}]?")
+TIME = re.compile(CLOCK)
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|\{\\[^{}]*\}", re.S)
 WORD = re.compile(r"[^\W_]+")
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 JSON_TEXT = re.compile(r'^\s*\{.*?"text"\s*:\s*"((?:[^"\\]|\\.)*)".*\}\s*,?\s*$')
-BREAK = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[\r\n]+")
+BREAK = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[\r\n]+")
 
 
 class _Fold(dict):
