@@ -29,16 +29,24 @@ def centroids(vectors: DataFrame, by: list[str], vector: str, weight: str | None
 def best_two(clips: DataFrame, known: DataFrame, key: str, vector: str = "embedding", name: str = "speaker", centroid: str = "centroid", pos: str = "cluster_id") -> DataFrame:
     """The two nearest centroids of each clip: key, best, best_name, second (−1 where there is one centroid), margin.
 
-    Centroids are compared one by one, so two centroids of one speaker compete. Ties go to the smaller pos. Each clip
-    meets the centroids in one task; they are broadcast if few.
+    Centroids are compared one by one, so two centroids of one speaker compete. Ties go to the smaller pos. Centroids go
+    to every task as one row, in as many blocks as their number needs (BROADCAST_ROWS each); the blocks' best are merged.
     """
     unit_known = known.where(F.col(centroid).isNotNull()).select(F.col(pos).alias("__pos"), F.col(name).alias("__name"), unit(F.col(centroid)).alias("__c"))
-    packed = checked_broadcast(unit_known).agg(F.collect_list(F.struct("__pos", "__name", "__c")).alias("__all"))
-    rows = clips.where(F.col(vector).isNotNull()).select(key, unit(F.col(vector)).alias("__v")).join(F.broadcast(packed))  # one row, of at most BROADCAST_ROWS centroids
-    sims = F.transform("__all", lambda c: F.struct((-F.round(dot(F.col("__v"), c["__c"]), 12)).alias("s"), c["__pos"].alias("p"), c["__name"].alias("n")))
-    rows = rows.select(key, F.slice(F.array_sort(sims), 1, 2).alias("__two")).where(F.size("__two") > 0)
+    blocks = max(1, -(-unit_known.count() // BROADCAST_ROWS))
+    rows = clips.where(F.col(vector).isNotNull()).select(key, unit(F.col(vector)).alias("__v"))
+    found = None
+    for block in range(blocks):
+        own = unit_known if blocks == 1 else unit_known.where(F.pmod(F.xxhash64("__pos"), F.lit(blocks)) == block)
+        packed = F.broadcast(own.agg(F.collect_list(F.struct("__pos", "__name", "__c")).alias("__all")))
+        sims = F.transform("__all", lambda c: F.struct((-F.round(dot(F.col("__v"), c["__c"]), 12)).alias("s"), c["__pos"].alias("p"), c["__name"].alias("n")))
+        part = rows.join(packed).select(key, F.slice(F.array_sort(sims), 1, 2).alias("__two"))
+        found = part if found is None else found.unionByName(part)
+    if blocks > 1:
+        found = found.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("__two"))), 1, 2).alias("__two"))
+    found = found.where(F.size("__two") > 0)
     best, second = -F.get("__two", F.lit(0))["s"], F.coalesce(-F.get("__two", F.lit(1))["s"], F.lit(-1.0))
-    return rows.select(key, best.alias("best"), F.get("__two", F.lit(0))["n"].alias("best_name"), second.alias("second"), F.get("__two", F.lit(1))["n"].alias("second_name"), (best - second).alias("margin"))
+    return found.select(key, best.alias("best"), F.get("__two", F.lit(0))["n"].alias("best_name"), second.alias("second"), F.get("__two", F.lit(1))["n"].alias("second_name"), (best - second).alias("margin"))
 
 
 def accept(matches: DataFrame, least: float = 0.65, margin: float = 0.0) -> DataFrame:
@@ -63,6 +71,26 @@ def energy_gate(clips: DataFrame, unit_key: str, peak: str, has_vector: str, bel
     return clips.withColumn("__k", keep).where("__k").drop("__k")
 
 
+def clip_candidates(lines: DataFrame, stems: DataFrame, activity: DataFrame, least_seconds: float = 0.3, silence_db: float = -60.0, least_voiced: float = 0.05) -> DataFrame:
+    """Every line with the stems of its source group (all stems for a line without one), whether the clip is kept, and why not.
+
+    lines: line_id, source_group, start, end (seconds); stems: stem_id, source_group; activity: line_id, stem_id, peak_dbfs,
+    voiced_ratio. A line whose group has no stem is an error. Reasons are joined with '; '. Stems are few and go to every task.
+    """
+    grouped = lines.where(F.coalesce(F.trim("source_group"), F.lit("")) != "")
+    missing = grouped.join(stems, "source_group", "left_anti").limit(1).collect()
+    if missing:
+        raise ValueError(f"no stem of source group {missing[0]['source_group']}")
+    blank = lines.where(F.coalesce(F.trim("source_group"), F.lit("")) == "").drop("source_group").join(checked_broadcast(stems), how="cross")
+    rows = grouped.join(stems, "source_group").unionByName(blank).join(activity, ["line_id", "stem_id"], "left")
+    reasons = F.array_compact(F.array(
+        F.when(F.col("end") - F.col("start") < least_seconds, "too short"),
+        F.when(F.coalesce(F.col("peak_dbfs"), F.lit(float("-inf"))) <= silence_db, "silent"),
+        F.when(F.coalesce(F.col("voiced_ratio"), F.lit(0.0)) < least_voiced, "not voiced"),
+    ))
+    return rows.withColumn("kept", F.size(reasons) == 0).withColumn("reason", F.array_join(reasons, "; "))
+
+
 def pick_stem(clips: DataFrame, by: str, similarity: str, peak: str) -> DataFrame:
     """Per unit the clip of greatest similarity times the root of its relative power; the first by pos on ties."""
     w = Window.partitionBy(by)

@@ -58,3 +58,27 @@ def test_silence_has_floor_loudness(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 0.1)], "k string, e double")
     got = {r.k: r.loudness for r in statistics.integrated_loudness(df, ["k"], "e").collect()}
     assert got["a"] == -120 and abs(got["b"] + 10.691) < 1e-9
+
+
+def test_blocks_of_centroids_give_the_same_best(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(1)
+    vec = lambda: [rnd.gauss(0, 1) for _ in range(6)]
+    clips = spark.createDataFrame([(f"c{i}", vec()) for i in range(20)], "clip string, embedding array<double>")
+    known = spark.createDataFrame([(i, f"S{i % 7}", vec()) for i in range(23)], "cluster_id int, speaker string, centroid array<double>")
+    whole = sorted(tuple(r) for r in identity.best_two(clips, known, "clip").collect())
+    monkeypatch.setattr(identity, "BROADCAST_ROWS", 5)
+    assert sorted(tuple(r) for r in identity.best_two(clips, known, "clip").collect()) == whole
+
+
+def test_clip_candidates(spark):
+    import pytest
+
+    lines = spark.createDataFrame([("l1", "a", 0.0, 1.0), ("l2", "", 0.0, 0.1), ("l3", None, 0.0, 2.0)], "line_id string, source_group string, start double, end double")
+    stems = spark.createDataFrame([("s1", "a"), ("s2", "b")], "stem_id string, source_group string")
+    heard = spark.createDataFrame([("l1", "s1", -10.0, 0.5), ("l2", "s1", -10.0, 0.5), ("l3", "s2", -70.0, 0.0)], "line_id string, stem_id string, peak_dbfs double, voiced_ratio double")
+    got = {(r.line_id, r.stem_id): (r.kept, r.reason) for r in identity.clip_candidates(lines, stems, heard).collect()}
+    assert got == {("l1", "s1"): (True, ""), ("l2", "s1"): (False, "too short"), ("l2", "s2"): (False, "too short; silent; not voiced"), ("l3", "s1"): (False, "silent; not voiced"), ("l3", "s2"): (False, "silent; not voiced")}
+    with pytest.raises(ValueError):
+        identity.clip_candidates(lines.union(spark.createDataFrame([("l4", "z", 0.0, 1.0)], lines.schema)), stems, heard)
