@@ -115,7 +115,7 @@ SESSIONS = f"""{LINES}, w AS (SELECT *, nullif(trim(diarized_speaker), '') who,
 
 @query(
     "sessionize_gap_speaker",
-    f"""WITH {SESSIONS} SELECT reel_id, grp group_no, min(start_ms) "start", arg_max(end_ms, (start_ms, line_id)) "end", count(*) n_words, coalesce(min(who), '') speaker,
+    f"""WITH {SESSIONS} SELECT reel_id, CAST(grp AS BIGINT) group_no, min(start_ms) "start", arg_max(end_ms, (start_ms, line_id)) "end", count(*) n_words, coalesce(min(who), '') speaker,
     CASE WHEN count(DISTINCT nullif(transcription_source, '')) > 1 THEN 'mixed' ELSE coalesce(min(nullif(transcription_source, '')), '') END transcription_source, bool_or(coalesce(review_required, false)) review_required
     FROM w4 GROUP BY 1, 2""",
 )
@@ -199,12 +199,12 @@ SCENES = f"""{SHOTS}, sc AS (SELECT *, round((end_ms - start_ms) / 19997, 6) sco
     string_agg(shot_id, ' ' ORDER BY start_ms, shot_id) shot_ids, round(arg_max(score, (start_ms, shot_id)), 6) boundary_score FROM asg GROUP BY 1, 2)"""
 
 
-@query("scene_assign", f"WITH {SCENES} SELECT shot_id, reel_id, scene FROM asg")
+@query("scene_assign", f"WITH {SCENES} SELECT shot_id, reel_id, CAST(scene AS BIGINT) scene FROM asg")
 def scene_assign(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("shot_id", "reel_id", "scene")
 
 
-@query("scene_rollup", f"WITH {SCENES} SELECT reel_id, scene, scene_id, shot_count, scene_start, scene_end, shot_ids, boundary_score FROM rol")
+@query("scene_rollup", f"WITH {SCENES} SELECT reel_id, CAST(scene AS BIGINT) scene, scene_id, CAST(shot_count AS INTEGER) shot_count, scene_start, scene_end, shot_ids, boundary_score FROM rol")
 def scene_rollup(spark: SparkSession, d: str) -> DataFrame:
     return sq.scene_rollup(_scored(spark, d), ["reel_id"], ["start_ms", "shot_id"], "score", 6)
 
@@ -229,7 +229,7 @@ def lane_assign(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dialogue_groups",
-    f"""WITH {LINES} SELECT reel_id, coalesce(speaker, '') speaker, sum(end_ms - start_ms) total, row_number() OVER (PARTITION BY reel_id ORDER BY coalesce(speaker, '') = '', -sum(end_ms - start_ms), coalesce(speaker, '')) place FROM ln GROUP BY 1, 2""",
+    f"""WITH {LINES} SELECT reel_id, coalesce(speaker, '') speaker, CAST(sum(end_ms - start_ms) AS BIGINT) total, CAST(row_number() OVER (PARTITION BY reel_id ORDER BY coalesce(speaker, '') = '', -sum(end_ms - start_ms), coalesce(speaker, '')) AS INTEGER) place FROM ln GROUP BY 1, 2""",
 )
 def dialogue_groups(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window

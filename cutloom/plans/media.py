@@ -106,7 +106,7 @@ def placed_markers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("clip", "start_frame", "frames", mark["color"].alias("color"), mark["label"].alias("label"))
 
 
-@query("timeline_summary", f"WITH {PLACED} SELECT reel_id, grp, clips, frames, end_frame FROM (SELECT reel_id, coalesce(source_group, '') grp, count(*) clips, sum(frames) frames, max(start_frame + frames) end_frame FROM pc GROUP BY GROUPING SETS ((reel_id, coalesce(source_group, '')), (reel_id)))")
+@query("timeline_summary", f"WITH {PLACED} SELECT reel_id, grp, clips, CAST(frames AS BIGINT) frames, end_frame FROM (SELECT reel_id, coalesce(source_group, '') grp, count(*) clips, sum(frames) frames, max(start_frame + frames) end_frame FROM pc GROUP BY GROUPING SETS ((reel_id, coalesce(source_group, '')), (reel_id)))")
 def timeline_summary(spark: SparkSession, d: str) -> DataFrame:
     return tl.summary(tl.placed(_clips(spark, d), 24.0), ["reel_id"], "grp").select("reel_id", "grp", "clips", "frames", "end_frame")
 

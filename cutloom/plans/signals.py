@@ -160,7 +160,7 @@ def build_shots(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "cut_points_to_ranges",
     f"""WITH {FRAMES}, e AS (SELECT DISTINCT * FROM (SELECT user_id, f FROM fr JOIN ft USING (user_id) WHERE f > 0 AND f < total UNION ALL SELECT user_id, 0 FROM ft UNION ALL SELECT user_id, total FROM ft)),
-    r AS (SELECT user_id, f start_frame, lead(f) OVER w end_frame, row_number() OVER w n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY f)) SELECT user_id, n, start_frame, end_frame FROM r WHERE end_frame > start_frame""",
+    r AS (SELECT user_id, f start_frame, lead(f) OVER w end_frame, row_number() OVER w n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY f)) SELECT user_id, CAST(n AS INTEGER) n, start_frame, end_frame FROM r WHERE end_frame > start_frame""",
 )
 def cut_points(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) % 5000).cast("bigint").alias("frame"))
@@ -236,7 +236,7 @@ def override(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "votes",
     f"""WITH {SIMS}, dt AS (SELECT vec_id // 10 shot, 'S' || label AS name, vec_id FROM rk WHERE r = 1), c AS (SELECT shot, name, count(*) n, min(vec_id) f FROM dt GROUP BY 1, 2)
-    SELECT shot, coalesce(string_agg(CASE WHEN n >= 2 THEN name END, ', ' ORDER BY n DESC, f), '') accepted, count(*) names, sum(n) votes FROM c GROUP BY 1""",
+    SELECT shot, coalesce(string_agg(CASE WHEN n >= 2 THEN name END, ', ' ORDER BY n DESC, f), '') accepted, count(*) names, CAST(sum(n) AS BIGINT) votes FROM c GROUP BY 1""",
 )
 def votes(spark: SparkSession, d: str) -> DataFrame:
     rows = _matches(spark, d).select(F.floor(F.col("vec_id") / 10).alias("shot"), F.col("best_name").alias("name"), F.col("vec_id").alias("pos"))
@@ -246,7 +246,7 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "cosine_topk",
     f"""WITH {NORMED}, q AS (SELECT vec_id qid, embedding qv, nrm qn FROM nv WHERE vec_id % 100 = 0), p AS (SELECT qid, vec_id, round(CASE WHEN nrm * qn = 0 THEN 0 ELSE list_inner_product(embedding::DOUBLE[], qv::DOUBLE[]) / (nrm * qn) END, 9) similarity FROM q, nv)
-    SELECT qid, vec_id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) "rank" FROM p QUALIFY "rank" <= 5""",
+    SELECT qid, vec_id, similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS INTEGER) "rank" FROM p QUALIFY "rank" <= 5""",
 )
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
