@@ -38,7 +38,7 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("o_custkey") % 300 * 1.5
-    return table(spark, d, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 5).alias("prog"), at.alias("start"), (at + 1 + F.col("o_orderkey") % 4).alias("end"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 5).alias("prog"), at.alias("start"), (at + 1 + F.col("o_orderkey") % 4).alias("end"))
 
 
 HITS = f"{LEVELS}, {WORDS}, ht AS (SELECT wd.k, wd.prog, source, level FROM wd JOIN lv ON lv.prog = wd.prog AND lv.i >= floor(s / 0.5) AND lv.i < greatest(floor(s / 0.5) + 1, ceil(e / 0.5)))"
