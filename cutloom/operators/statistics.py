@@ -43,34 +43,70 @@ def source_interactions(powers: DataFrame, by: list[str], role: str, power: str)
     return out.withColumns({"d_share": share("d"), "m_share": share("m"), "e_share": share("e"), "masking": masking_risk(F.col("d"), F.col("m") + F.col("e"))})
 
 
+#: Parts of the range of values in which order statistics are looked for, so that a large group is many tasks' work.
+RANGES = 64
+
+
+def _middle(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Of groups of three or more values: by, __xs (the three values from place (size - 2) div 2, from 0, in order), __even.
+
+    counted: by, i, x, n, each value once in a group with its number. Only the ranges that hold the middle are sorted.
+    """
+    steps = [k / RANGES for k in range(1, RANGES)]
+    bounds = counted.groupBy("i").agg(F.percentile_approx("x", steps, 1_000).alias("__b"))
+    rows = counted.join(F.broadcast(bounds), "i").withColumn("__r", F.size(F.filter("__b", lambda v: v < F.col("x")))).drop("__b")
+    w = Window.partitionBy(*by)
+    ranges = rows.groupBy(*by, "__r").agg(F.sum("n").alias("c"))
+    ranges = ranges.withColumn("size", F.sum("c").over(w)).withColumn("__from", F.sum("c").over(w.orderBy("__r")) - F.col("c"))
+    ranges = ranges.where("size >= 3").withColumn("__lo", F.floor((F.col("size") - 2) / 2))
+    ranges = ranges.where("__from <= __lo + 2 AND __from + c > __lo").drop("c")
+    near = rows.join(ranges, [*by, "__r"])
+    upto = F.col("__from") + F.sum("n").over(Window.partitionBy(*by, "__r").orderBy("x"))
+    near = near.withColumn("__to", upto).withColumn("__at", F.col("__to") - F.col("n") - F.col("__lo")).withColumn("__to", F.col("__to") - F.col("__lo"))
+    at = lambda q: F.max(F.when((F.col("__at") <= q) & (F.col("__to") > q), F.col("x")))
+    return near.groupBy(*by).agg(F.array(at(0), at(1), at(2)).alias("__xs"), (F.max("size") % 2 == 0).alias("__even"))
+
+
+def _above(x: Column) -> Column:
+    """How many of the two values in the middle of the others stand below x; an even group has one such value, counted twice."""
+    low, high = F.get("__xs", F.lit(0)), F.when(F.col("__even"), F.get("__xs", F.lit(0))).otherwise(F.get("__xs", F.lit(1)))
+    return (x > low).cast("int") + (x > high).cast("int")
+
+
+def _others_median(above: Column) -> Column:
+    """Median of a group without a value that so many of the middle values stand below."""
+    a, b, c = (F.get("__xs", F.lit(i)) for i in range(3))
+    even = F.when(above == 0, b).otherwise(a)
+    return F.when(F.col("__even"), even).otherwise(F.when(above == 0, b + c).when(above == 1, a + c).otherwise(a + b) / 2)
+
+
 def line_outliers(rows: DataFrame, key: str, speaker: str, values: list[str], least: float = 3.5) -> DataFrame:
     """Rows far from their peers: key, speaker, score.
 
     Peers are the other rows of the same speaker; of a row without speaker, and where they are fewer than two, all
     others. The score is the root mean square of deviations from the peers' median over 1.4826 times their median
-    absolute deviation, in the dimensions where that exceeds 1e-6. Every row meets the sorted values of its peers, so
-    this is for the lines of a programme, not for a corpus.
+    absolute deviation, in the dimensions where that exceeds 1e-6. A group without one of its rows has one of three
+    medians, which follow from three values in its middle; so has each of their deviations.
     """
+    sizes = rows.groupBy(speaker).agg(F.count(F.lit(1)).alias("__size"))
     named = F.coalesce(F.trim(speaker), F.lit("")) != ""
-    size = F.count(F.lit(1)).over(Window.partitionBy(speaker))
-    rows = rows.withColumn("__g", F.when(named & (size >= 3), F.concat(F.lit("s:"), F.col(speaker))))
+    rows = rows.join(sizes, speaker, "left").withColumn("__g", F.when(named & (F.col("__size") >= 3), F.concat(F.lit("s:"), F.col(speaker)))).drop("__size")
     # rows that are compared with all others form one more group, of which everybody is a member
     own = rows.where("__g IS NOT NULL").withColumn("__asks", F.lit(True))
     lonely = rows.where("__g IS NULL").select("__g").limit(1).count()
     if lonely:
         own = own.unionByName(rows.withColumn("__asks", F.col("__g").isNull()).withColumn("__g", F.lit("all")))
-    long = own.select(key, speaker, "__g", "__asks", F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("i", "x"))
-    sorted_ = long.groupBy("__g", "i").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    asked = long.where("__asks").join(sorted_, ["__g", "i"]).where(F.size("xs") >= 3)
-
-    def median(xs: Column) -> Column:
-        n = F.size(xs)
-        return (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2
-
-    at = F.array_position("xs", F.col("x")).cast("int")
-    peers = F.concat(F.slice("xs", F.lit(1), at - 1), F.slice("xs", at + 1, F.size("xs")))
-    asked = asked.withColumn("__p", peers).withColumn("__m", median(F.col("__p")))
-    asked = asked.withColumn("__s", 1.4826 * median(F.array_sort(F.transform("__p", lambda v: F.abs(v - F.col("__m"))))))
+    long = own.select(key, speaker, "__g", "__asks", F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("i", "x")).where("x IS NOT NULL")
+    counted = long.groupBy("__g", "i", "x").agg(F.count(F.lit(1)).alias("n"))
+
+    middle = _middle(counted, ["__g", "i"])
+    cases = middle.withColumn("__c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("NOT (__even AND __c = 1)")
+    cases = cases.select("__g", "i", "__c", _others_median(F.col("__c")).alias("__m"))
+    apart = counted.join(cases, ["__g", "i"]).groupBy("__g", "i", "__c", F.abs(F.col("x") - F.col("__m")).alias("x")).agg(F.sum("n").alias("n"))
+    spread = _middle(apart, ["__g", "i", "__c"]).join(cases, ["__g", "i", "__c"])
+
+    asked = long.where("__asks").join(middle, ["__g", "i"]).withColumn("__c", _above(F.col("x"))).drop("__xs", "__even").join(spread, ["__g", "i", "__c"])
+    asked = asked.withColumn("__s", 1.4826 * _others_median(_above(F.abs(F.col("x") - F.col("__m")))))
     term = F.when(F.col("__s") > 1e-6, F.pow((F.col("x") - F.col("__m")) / F.col("__s"), 2))
     out = asked.groupBy(key, speaker).agg(F.coalesce(F.sqrt(F.avg(term)), F.lit(0.0)).alias("score"))
     return out.where(F.col("score") >= least).withColumn("score", F.round("score", 6))

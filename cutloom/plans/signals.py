@@ -322,10 +322,7 @@ def masking(spark: SparkSession, d: str) -> DataFrame:
     SELECT k, s, round(CASE WHEN sc > 1e-6 THEN abs((x - m) / sc) ELSE 0 END, 6) score FROM q WHERE CASE WHEN sc > 1e-6 THEN abs((x - m) / sc) ELSE 0 END >= 3.5""",
 )
 def outliers(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "orders").where("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("s"), F.col("o_totalprice").alias("x"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("n >= 3").drop("n")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("s"), F.col("o_totalprice").alias("x"))
     return st.line_outliers(rows, "k", "s", ["x"])
 
 

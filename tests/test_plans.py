@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
-from cutloom.plans import media
+from cutloom.operators import statistics
+from cutloom.plans import media, signals
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +68,39 @@ def test_words_agree_with_the_sql_where_it_looks(spark, tables, name):
     sql = sql_rows(tables, media.ORACLE[name], "orders", "events")
     keys = {r[1] for r in sql}
     assert keys and sorted(tuple(r) for r in media.QUERIES[name](spark, tables).collect() if r.k in keys) == sql
+
+
+def outliers(rows):
+    """Scores of (key, speaker, values) by plain leave-one-out medians."""
+    out = {}
+    for i, (k, s, xs) in enumerate(rows):
+        peers = [r for j, r in enumerate(rows) if j != i and r[1] == s] if (s or "").strip() else []
+        peers = peers if len(peers) >= 2 else [r for j, r in enumerate(rows) if j != i]
+        terms = []
+        for n, x in enumerate(xs):
+            p = np.array([r[2][n] for r in peers if r[2][n] is not None])
+            if x is not None and len(p) >= 2 and (scale := 1.4826 * np.median(np.abs(p - np.median(p)))) > 1e-6:
+                terms.append(((x - np.median(p)) / scale) ** 2)
+        score = float(np.sqrt(np.mean(terms))) if terms else 0.0
+        if score >= 3.5:
+            out[k] = score
+    return out
+
+
+def test_outliers_of_all_speakers(spark, tables):
+    orders = spark.read.parquet(f"{tables}/orders.parquet").collect()
+    want = outliers([(r.o_orderkey, str(r.o_custkey), [r.o_totalprice]) for r in orders])
+    got = {r.k: r.score for r in signals.outliers(spark, tables).collect()}
+    assert set(got) == set(want) and len(want) > 20 and all(abs(got[k] - v) <= 1e-6 + 1e-9 * v for k, v in want.items())
+    sql = {r[0] for r in sql_rows(tables, signals.ORACLE["line_outliers_mad"], "orders")}
+    assert sql and sql < set(got)
+
+
+def test_outliers_with_ties_and_without_peers(spark):
+    rnd = random.Random(3)
+    rows = [(f"k{i}", rnd.choice(["a", "b", "c", None, " "]), [float(rnd.choice([0, 1, 1, 2, 3, 40])), rnd.choice([None, rnd.gauss(0, 1)])]) for i in range(150)]
+    rows += [("lone", "x", [99.0, 9.0]), ("p1", "y", [1.0, 0.0]), ("p2", "y", [-60.0, 0.0])] + [(f"h{i}", "huge", [rnd.gauss(0, 1) ** 3, float(i % 2)]) for i in range(300)]
+    df = spark.createDataFrame([(k, s, *x) for k, s, x in rows], "k string, s string, x double, y double")
+    want = outliers(rows)
+    got = {r.k: r.score for r in statistics.line_outliers(df, "k", "s", ["x", "y"]).collect()}
+    assert {"lone", "p2"} <= set(got) == set(want) and all(abs(got[k] - v) <= 1e-6 + 1e-9 * v for k, v in want.items())
