@@ -1,7 +1,8 @@
 """Most similar vectors of every vector, over learned partitions.
 
 A graph of nearest neighbours of a bounded sample is cut into balanced parts; a softmax classifier learns to tell a
-vector's part. Every vector is kept in its most probable part and asked for in its several most probable ones.
+vector's part. Every vector is kept in its most probable part and asked for in its several most probable ones. Nearest
+neighbours that are not near (cosine under 0.6) lie in any part, so for them the parts asked grow with their number.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from cutloom.common import latest
 
 #: Vectors from which the parts are learned; vectors that a part should hold; sample vectors a part needs at least.
 SAMPLE, PART, LEAST_SAMPLE = 8_192, 2_048, 16
-#: Parts in which a vector is asked for.
+#: Parts in which a vector is asked for, at least.
 PROBES = 3
+#: For neighbours at any distance: vectors that a part should hold, share of the parts in which a vector is asked for.
+WIDE, SHARE = 12_288, 0.6
 #: Part's vectors that one task compares with; a part that the sample shows to be larger is split into blocks.
 BLOCK = 16_384
 
@@ -130,17 +133,31 @@ class Router:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def local_neighbours(keys: list, own: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[list, list, list]:
-    """Of every row its k most similar own rows of the block: keys, keys of neighbours, similarities."""
+def most_similar(sims: np.ndarray, k: int, strips: int = 32) -> np.ndarray:
+    """Places of the k greatest of each row: they stand where the greatest of so many values are among the k greatest of those."""
+    n, width = sims.shape
+    each = width // strips
+    if each <= 2 * k:
+        return np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else np.empty((n, 0), np.int64)
+    top = sims[:, : each * strips].reshape(n, strips, each).max(axis=1)
+    best = np.argpartition(-top, k - 1, axis=1)[:, :k]
+    places = (best[:, :, None] + np.arange(strips) * each).reshape(n, -1)
+    places = np.hstack([places, np.broadcast_to(np.arange(each * strips, width), (n, width - each * strips))])
+    own = np.argpartition(-np.take_along_axis(sims, places, axis=1), k - 1, axis=1)[:, :k]
+    return np.take_along_axis(places, own, axis=1)
+
+
+def local_neighbours(own: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row its k most similar own rows of the block: rows, rows of neighbours, similarities."""
     index = np.nonzero(own)[0]
     base = np.ascontiguousarray(x[index].T)
     place = np.full(len(x), -1)
     place[index] = np.arange(len(index))
-    a, b, c = [], [], []
+    a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64)]
     k = min(k, len(index))
-    for s in range(0, len(x), 1024):
-        sims = x[s : s + 1024] @ base
-        mine = place[s : s + 1024]
+    for s in range(0, len(x), 512):
+        sims = x[s : s + 512] @ base
+        mine = place[s : s + 512]
         rows = np.nonzero(mine >= 0)[0]
         sims[rows, mine[rows]] = -2
         if least > -1:
@@ -152,23 +169,24 @@ def local_neighbours(keys: list, own: np.ndarray, x: np.ndarray, k: int, least:
                 use = np.arange(len(r)) - first < k
                 r, j = r[use], j[use]
         else:
-            j = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else np.empty((len(sims), 0), np.int64)
+            j = most_similar(sims, k)
             r, j = np.repeat(np.arange(len(sims)), k), j.ravel()
             use = sims[r, j] > -2
             r, j = r[use], j[use]
-        a += [keys[s + i] for i in r.tolist()]
-        b += [keys[index[i]] for i in j.tolist()]
-        c += sims[r, j].tolist()
-    return a, b, c
+        a.append(s + r)
+        b.append(index[j])
+        c.append(sims[r, j].astype(np.float64))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str, k: int = 10, least: float = -2.0, probes: int = PROBES) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str, k: int = 10, least: float = -2.0, near: bool = False) -> DataFrame:
     """The k most similar other vectors of every usable vector: key, neighbour, similarity (cosine), rank (from 1).
 
     Of each key the newest version counts; keys whose newest vector is null, of another length, not finite or all zero
     have no neighbours and are none. With `least`, only neighbours of at least that cosine are returned; their ranks are
     the same. Ties go to the smaller key. Exact copies are searched once, as their smallest key, and are each other's
-    neighbours with cosine 1. One vector or none gives an empty result. Columns beyond the named ones are ignored.
+    neighbours with cosine 1. With `near`, only neighbours of a cosine near 1 are needed: parts are small, and few are
+    asked. One vector or none gives an empty result. Columns beyond the named ones are ignored.
     """
     copies = latest(packed(df, key, vector, dim, version).select(key, version, F.md5("vec").alias("h")), key, version, ["h"]).where("h IS NOT NULL")
     groups = copies.groupBy("h").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -179,7 +197,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
 
     count = df.select(F.approx_count_distinct(key)).first()[0]
     x = sample(packed(df, key, vector, dim, version), key, version, SAMPLE, dim, count)
-    router = Router(x, max(1, min(-(-count // PART), len(x) // LEAST_SAMPLE)))
+    router = Router(x, max(1, min(-(-count // (PART if near else WIDE)), len(x) // LEAST_SAMPLE)))
+    probes = PROBES if near else max(PROBES, int(np.ceil(router.parts * SHARE)))
     blocks = np.maximum(1, np.ceil(router.share * count / BLOCK)).astype(int)
     sent = df.sparkSession.sparkContext.broadcast((router, blocks))
     kind = dict(df.dtypes)[key]
@@ -203,10 +222,9 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int32()), pa.array(own), *taken.columns], names=["part", "block", "own", key, "vec"])
 
     def search(group: pa.Table) -> pa.Table:
-        keys = group.column(key).to_pylist()
-        a, b, c = local_neighbours(keys, group.column("own").to_numpy(), unpack(group.column("vec"), dim), k, least)
-        kinds = group.schema.field(key).type
-        return pa.table({key: pa.array(a, kinds), "neighbour": pa.array(b, kinds), "similarity": pa.array(c, pa.float64())})
+        a, b, c = local_neighbours(group.column("own").to_numpy(), unpack(group.column("vec"), dim), k, least)
+        keys = group.column(key)
+        return pa.table({key: keys.take(pa.array(a)), "neighbour": keys.take(pa.array(b)), "similarity": pa.array(c, pa.float64())})
 
     routed = vectors.select(key, "vec").mapInArrow(route, f"part int, block int, own boolean, `{key}` {kind}, vec binary")
     found = routed.groupBy("part", "block").applyInArrow(search, f"`{key}` {kind}, neighbour {kind}, similarity double")

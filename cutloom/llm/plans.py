@@ -37,7 +37,7 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, key, dim in VECTORS:
-        near = similar_vectors(table(spark, sf_dir, name), key, "embedding", dim, "ingested_at", least=LEAST_COSINE)
+        near = similar_vectors(table(spark, sf_dir, name), key, "embedding", dim, "ingested_at", least=LEAST_COSINE, near=True)
         parts.append(near.select(F.lit(name).alias("source_table"), F.least(key, "neighbour").alias("key_a"), F.greatest(key, "neighbour").alias("key_b")).distinct())
     return parts[0].unionByName(parts[1])
 

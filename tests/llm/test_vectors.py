@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from cutloom.llm import neighbours
 from cutloom.llm.clusters import Mixture, describe_clusters, similarity_clusters
 from cutloom.llm.neighbours import Router, balanced_parts, nearest_of_sample, similar_vectors
 
@@ -43,6 +44,26 @@ def test_recall_and_order(spark):
     assert all(abs(sim - s[int(k[1:]), int(n[1:])]) < 1e-4 for k, ranks in list(got.items())[:50] for n, sim in ranks.values())
 
 
+def test_recall_over_many_parts(spark, monkeypatch):
+    """Neighbours of vectors that are near to nothing are found, too, when there are many more parts than are asked at least."""
+    x = made(30, 40, 1800, seed=8)
+    for name in ("PART", "WIDE"):
+        monkeypatch.setattr(neighbours, name, 150, raising=False)
+    got = {}
+    for r in similar_vectors(frame(spark, x), "k", "e", DIM, "v", k=10).collect():
+        got.setdefault(r.k, set()).add(r.neighbour)
+    near, _ = nearest(x, 10)
+    assert np.mean([len({f"k{j:05d}" for j in near[i]} & got[f"k{i:05d}"]) for i in range(len(x))]) >= 9.0
+
+
+def test_most_similar_are_the_greatest():
+    rng = np.random.default_rng(9)
+    for width in (10, 300, 1000, 2077):
+        sims = rng.standard_normal((40, width)).astype(np.float32)
+        got = neighbours.most_similar(sims, 10)
+        assert (np.sort(got, axis=1) == np.sort(np.argsort(-sims, axis=1)[:, :10], axis=1)).all()
+
+
 def test_floor_keeps_ranks_and_copies_are_neighbours(spark):
     x = made(3, 5, 20, seed=2)
     x = np.vstack([x, x[0], x[0], x[0]])
