@@ -39,19 +39,40 @@ def whole_ms(seconds: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where it is unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, local sessions (tests) take a folder of their
+    own; on a cluster a folder of one machine would lose rows, so there the setting is demanded."""
     sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known:
         return known
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cutloom-checkpoints"))
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cutloom-checkpoints"))
     return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame written to a table in the shared folder and read again, so that lost executors cost no rework."""
+    """The frame written to a table in the shared folder and read again, so that lost executors cost no rework.
+
+    The table goes with `dropped`, or else when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cutloom-{uuid.uuid4().hex}"
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cutloom_table = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that `cut_lineage` returned, once nothing reads them any more."""
+    for frame in frames:
+        files, path = _files(frame.sparkSession, frame._cutloom_table)
+        files.delete(path, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
