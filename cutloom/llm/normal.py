@@ -12,7 +12,8 @@ TIME = re.compile(CLOCK)
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|\{\\[^{}]*\}", re.S)
 WORD = re.compile(r"[^\W_]+")
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
-JSON_TEXT = re.compile(r'^\s*\{.*?"text"\s*:\s*"((?:[^"\\]|\\.)*)".*\}\s*,?\s*$')
+JSON_LINE = re.compile(r"^\s*\{.*\}\s*,?\s*$")
+JSON_TEXT = re.compile(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"')
 BREAK = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[\r\n]+")
 
 
@@ -52,10 +53,10 @@ def words(text: str | None) -> list[str]:
 
 
 def sentences(text: str | None, least: int = 3) -> list[list[str]]:
-    """The words of each sentence of at least `least` words; line ends close a sentence, of JSON lines the text counts."""
+    """The words of each sentence of at least `least` words; line ends close a sentence, of JSON lines the texts count."""
     if not text:
         return []
     if '"text"' in text:
-        text = "\n".join(m.group(1).replace('\\"', '"') if (m := JSON_TEXT.match(line)) else line for line in text.split("\n"))
+        text = "\n".join("\n".join(JSON_TEXT.findall(line)).replace('\\"', '"') if '"text"' in line and JSON_LINE.match(line) else line for line in text.split("\n"))
     found = (WORD.findall(x) for x in BREAK.split(cleaned(text)))
     return [x for x in found if len(x) >= least]

@@ -10,7 +10,7 @@ from cutloom.llm.clusters import describe_clusters, similarity_clusters
 from cutloom.llm.leaks import leaks
 from cutloom.llm.neighbours import similar_vectors
 from cutloom.llm.runs import collapse_runs, label_key
-from cutloom.llm.subjects import ROUNDS, area_of_label, calibrate, document_areas, mine_rules
+from cutloom.llm.subjects import area_of_label, subject_areas
 from cutloom.llm.tokens import encode_corpus
 from cutloom.llm.turns import speaker_turns
 
@@ -91,10 +91,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     codes = sorted(r[0] for r in table(spark, sf_dir, "subject_areas").select("area_code").distinct().collect())
     labels = table(spark, sf_dir, "subject_labels").select("doc_id", area_of_label(F.col("area_label"), codes).alias("area"))
-    rules = mine_rules(docs, labels, codes)
-    for _ in range(ROUNDS):
-        rules = calibrate(docs, rules)
-    return document_areas(docs, rules).select("doc_id", "area_code")
+    return subject_areas(docs, labels).select("doc_id", "area_code")
 
 
 def _label_sql(column: str) -> str:
