@@ -32,6 +32,23 @@ class _Fold(dict):
 
 
 FOLD = _Fold()
+#: Distinct odd characters of a text up to which they are replaced one by one.
+FEW_ODD = 48
+ASCII = bytes(range(128))
+CLOCK_TAIL = re.compile(r":\d\d:\d\d")
+#: ASCII characters by what they do: word characters stay, others part words; before that, sentence ends become full stops, closing marks quotes.
+APART = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
+ENDING = "".join(c if c.isalnum() else "\n" if c in "\r\n" else " " if c.isspace() else "." if c in ".!?" else '"' if c in "\"')]" else "\t" for c in map(chr, range(128)))
+
+
+def folded(text: str) -> str:
+    """Without marks, invisible characters and accents."""
+    odd = set(text.encode("utf-8", "surrogatepass").translate(None, ASCII).decode("utf-8", "surrogatepass"))
+    if len(odd) > FEW_ODD or not all(FOLD[ord(c)].isascii() or FOLD[ord(c)] == c for c in odd):
+        return text.translate(FOLD)
+    for c in odd:
+        text = text.replace(c, FOLD[ord(c)])
+    return text
 
 
 def cleaned(text: str) -> str:
@@ -43,13 +60,16 @@ def cleaned(text: str) -> str:
     if "<" in text or "{" in text:
         text = TAG.sub(" ", text)
     if not text.isascii():
-        text = text.translate(FOLD)
-    return TIME.sub(" ", text).casefold() if ":" in text else text.casefold()
+        text = folded(text)
+    return TIME.sub(" ", text).casefold() if CLOCK_TAIL.search(text) else text.casefold()
 
 
 def words(text: str | None) -> list[str]:
     """The words (letters and digits) of a text, folded; none for null."""
-    return WORD.findall(cleaned(text)) if text else []
+    if not text:
+        return []
+    text = cleaned(text)
+    return text.translate(APART).split() if text.isascii() else WORD.findall(text)
 
 
 def sentences(text: str | None, least: int = 3) -> list[list[str]]:
@@ -58,5 +78,10 @@ def sentences(text: str | None, least: int = 3) -> list[list[str]]:
         return []
     if '"text"' in text:
         text = "\n".join("\n".join(JSON_TEXT.findall(line)).replace('\\"', '"') if '"text"' in line and JSON_LINE.match(line) else line for line in text.split("\n"))
-    found = (WORD.findall(x) for x in BREAK.split(cleaned(text)))
-    return [x for x in found if len(x) >= least]
+    text = cleaned(text)
+    if not text.isascii():
+        return [x for x in map(WORD.findall, BREAK.split(text)) if len(x) >= least]
+    text = text.translate(ENDING)
+    while '."' in text:
+        text = text.replace('."', ".")
+    return [x for x in (y.translate(APART).split() for y in text.replace(". ", "\n").replace(".\n", "\n").split("\n")) if len(x) >= least]

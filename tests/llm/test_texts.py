@@ -1,11 +1,13 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cutloom.llm import leaks as lk
 from cutloom.llm.normal import sentences, words
-from cutloom.llm.subjects import area_of_label, calibrate, document_areas, mine_rules
+from cutloom.llm.subjects import GROUPS, area_of_label, grown_patterns, subject_areas
 from cutloom.llm.tokens import VOCABULARY, ChunkEncoder, encode_corpus, encoder
 
 
@@ -117,10 +119,7 @@ def test_held_out_accuracy(spark):
     labels = [(d, rnd.choice([a, a.upper(), f" {a}", a[:4] + ".", a + "s"]), x) for d, a, x in labels] + labels[:10] + [(None, "law", 1), (5000, "law", 1), (3, None, 1)]
     df = spark.createDataFrame(docs + [(600, None), (601, ""), (602, "!")], "doc_id bigint, text string").withColumn("area", F.lit("clash"))
     named = spark.createDataFrame(labels, "doc_id bigint, label string, x int").select("doc_id", area_of_label(F.col("label"), sorted(AREAS)).alias("area"))
-    rules = mine_rules(df, named, sorted(AREAS))
-    for _ in range(2):
-        rules = calibrate(df, rules)
-    got = {(r.doc_id, r.area_code) for r in document_areas(df, rules).collect()}
+    got = {(r.doc_id, r.area_code) for r in subject_areas(df, named).collect()}
     want = {(d, a) for d, m in truth.items() for a in m if d >= 120}
     found = {x for x in got if x[0] >= 120}
     assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
@@ -129,8 +128,24 @@ def test_held_out_accuracy(spark):
 @pytest.mark.parametrize("labels", [[], [(1, None)]])
 def test_no_labels_give_no_areas(spark, labels):
     df = spark.createDataFrame([(1, "One two three four.")], "doc_id bigint, text string")
-    rules = mine_rules(df, spark.createDataFrame(labels, "doc_id bigint, area string"), ["law"])
-    assert document_areas(df, calibrate(df, rules)).collect() == []
+    assert subject_areas(df, spark.createDataFrame(labels, "doc_id bigint, area string")).collect() == []
+
+
+def test_patterns_against_counting():
+    rnd = random.Random(5)
+    bags = [sorted(rnd.sample(range(60), rnd.randrange(1, 20))) for _ in range(300)]
+    counts = np.array([[rnd.randrange(3), rnd.randrange(2)] for _ in bags], float)
+    want = {}
+    for bag, k in zip(bags, counts):
+        for x in [(i, -1) for i in bag] + [(b, a) for a, b in combinations(bag, 2)]:
+            want[x] = want.get(x, 0) + k
+    got = {}
+    for g in range(GROUPS):
+        own = [(bag[: max(n for n, i in enumerate(bag) if i % GROUPS == g) + 1], k) for bag, k in zip(bags, counts) if any(i % GROUPS == g for i in bag)]
+        if own:
+            a, b, k = grown_patterns(np.concatenate([x for x, _ in own]), np.array([len(x) for x, _ in own]), np.array([k for _, k in own]), g, 2)
+            got |= {(i, j): x for i, j, x in zip(a.tolist(), b.tolist(), k)}
+    assert set(got) == {x for x, k in want.items() if k.sum() >= 2} and all((got[x] == want[x]).all() for x in got)
 
 
 def test_labels(spark):
