@@ -5,33 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code, name and other codes of each language.
+#: Name and code of each language.
 LANGUAGES = (
-    ("ar", "Arabic", "ara"), ("bn", "Bengali", "ben"), ("cs", "Czech", "cze ces"), ("da", "Danish", "dan"), ("de", "German", "ger deu"), ("el", "Greek", "gre ell"),
-    ("en", "English", "eng"), ("es", "Spanish", "spa"), ("fi", "Finnish", "fin"), ("fr", "French", "fre fra"), ("he", "Hebrew", "heb"), ("hi", "Hindi", "hin"),
-    ("hu", "Hungarian", "hun"), ("id", "Indonesian", "ind"), ("it", "Italian", "ita"), ("ja", "Japanese", "jpn"), ("ko", "Korean", "kor"), ("ms", "Malay", "may msa"),
-    ("nl", "Dutch", "dut nld"), ("no", "Norwegian", "nor"), ("pl", "Polish", "pol"), ("pt", "Portuguese", "por"), ("ro", "Romanian", "rum ron"), ("ru", "Russian", "rus"),
-    ("sv", "Swedish", "swe"), ("th", "Thai", "tha"), ("tr", "Turkish", "tur"), ("uk", "Ukrainian", "ukr"), ("vi", "Vietnamese", "vie"), ("yue", "Cantonese", "cantonese"), ("zh", "Chinese", "chi zho mandarin"),
+    ("Chinese", "zh"), ("Cantonese", "yue"), ("English", "en"), ("Arabic", "ar"), ("Czech", "cs"), ("Danish", "da"), ("Dutch", "nl"), ("Finnish", "fi"),
+    ("French", "fr"), ("German", "de"), ("Greek", "el"), ("Hebrew", "he"), ("Hindi", "hi"), ("Hungarian", "hu"), ("Italian", "it"), ("Japanese", "ja"),
+    ("Korean", "ko"), ("Macedonian", "mk"), ("Malay", "ms"), ("Persian", "fa"), ("Polish", "pl"), ("Portuguese", "pt"), ("Romanian", "ro"), ("Russian", "ru"),
+    ("Spanish", "es"), ("Swahili", "sw"), ("Swedish", "sv"), ("Tagalog", "tl"), ("Thai", "th"), ("Turkish", "tr"), ("Vietnamese", "vi"),
 )
+#: Other names of languages, with their codes.
+ALIASES = {
+    "deutsch": "de", "farsi": "fa", "persian (farsi)": "fa", "mandarin": "zh", "mandarin chinese": "zh", "putonghua": "zh", "brazilian portuguese": "pt",
+    "castilian": "es", "castellano": "es", "filipino": "tl", "bahasa melayu": "ms", "bahasa malaysia": "ms", "kiswahili": "sw",
+}
 #: Codes of languages written without blanks.
 SPACELESS = ("zh", "yue", "ja", "th")
 
 
-def _lookup(target: int) -> Column:
-    pairs = {}
-    for code, name, others in LANGUAGES:
-        for x in (code, name.lower(), *others.split()):
-            pairs.setdefault(x, (code, name)[target])
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+def _lookup(names: bool) -> Column:
+    """Code, or name, by every writing in lower case."""
+    by_code = {code: name for name, code in LANGUAGES}
+    codes = {name.lower(): code for name, code in LANGUAGES} | {code: code for code in by_code} | ALIASES
+    return F.create_map(*[F.lit(x) for key, code in codes.items() for x in (key, by_code[code] if names else code)])
 
 
 def language_code(value: Column) -> Column:
     """Code of a language given by name, code or alias; null for others."""
-    return F.try_element_at(_lookup(0), F.lower(F.trim(value)))
+    return F.try_element_at(_lookup(False), F.lower(F.trim(value)))
 
 
 def language_name(value: Column) -> Column:
-    return F.try_element_at(_lookup(1), F.lower(F.trim(value)))
+    return F.try_element_at(_lookup(True), F.lower(F.trim(value)))
 
 
 def recogniser_code(value: Column) -> Column:
@@ -46,4 +49,10 @@ def is_spaceless(value: Column) -> Column:
 
 def supported() -> tuple[list[str], list[str]]:
     """Sorted names and sorted codes."""
-    return sorted(x[1] for x in LANGUAGES), sorted(x[0] for x in LANGUAGES)
+    return sorted(x[0] for x in LANGUAGES), sorted(x[1] for x in LANGUAGES)
+
+
+def validated(value: Column) -> Column:
+    """Code of a language; an unsupported one is an error that names the supported ones."""
+    said = F.concat(F.lit("Unsupported language "), F.coalesce(value, F.lit("null")), F.lit(". Supported speech languages: " + ", ".join(supported()[0])))
+    return F.coalesce(language_code(value), F.raise_error(said).cast("string"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 FLOOR_DB, TINY = -120.0, 1e-12
 
@@ -71,15 +76,34 @@ def pcm_codec(width: Column) -> Column:
 
 
 def content_fingerprint(content: Column, part: int = 4 * 1024 * 1024) -> Column:
-    """sha256 of a binary: of all of it up to twice the part, else of its first and last part."""
+    """sha256 of a binary's first part, and of its last part too where it is longer than two."""
     size = F.length(content)
     ends = F.concat(F.substring(content, 1, part), F.substring(content, -part, part))
-    return F.sha2(F.when(size > 2 * part, ends).otherwise(content), 256)
+    return F.sha2(F.when(size > 2 * part, ends).otherwise(F.substring(content, 1, part)), 256)
+
+
+def file_entry(content: Column, part: int = 4 * 1024 * 1024) -> Column:
+    """A file's fingerprint as JSON with sorted keys."""
+    return F.format_string('{"sha256": "%s", "size": %d}', content_fingerprint(content, part), F.length(content))
+
+
+@F.pandas_udf(StringType())
+def value_entry(values: pd.Series) -> pd.Series:
+    """A text's fingerprint as JSON with sorted keys: the sha256 of its JSON writing (ASCII only) and its type; null for null and empty."""
+    entry = lambda v: json.dumps({"sha256": hashlib.sha256(json.dumps(v).encode()).hexdigest(), "value_type": "str"})
+    return values.map(lambda v: entry(v) if v else None)
+
+
+def list_fingerprint(entries: Column) -> Column:
+    """count and sha256 of labelled fingerprints (array of label and entry, as JSON): in order of the labels, each label and its entry. Null entries don't count."""
+    known = F.array_sort(F.filter(entries, lambda e: e["entry"].isNotNull()))
+    text = F.array_join(F.transform(known, lambda e: F.concat(e["label"], e["entry"])), "")
+    return F.struct(F.size(known).alias("count"), F.sha2(text, 256).alias("sha256"))
 
 
-def list_fingerprint(values: Column) -> Column:
-    """sha256 of the sorted values, one a line."""
-    return F.sha2(F.array_join(F.array_sort(values), "\n"), 256)
+def stable_digest(value: object) -> str:
+    """sha256 of a value's JSON writing with sorted keys and no blanks."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
 def billed_minutes(seconds: Column, least: int = 1) -> Column:

@@ -93,17 +93,16 @@ def clean_text(value: Column) -> Column:
     return _strip(F.regexp_replace(text, r"\s{2,}", " "), ' ,."')
 
 
-def plausible_speech(text: Column, seconds: Column) -> Column:
-    """Whether a recognised text can be speech: at least 0.3 s, two words, 2 to 30 characters a second, no stock phrase."""
-    plain = F.trim(F.lower(text))
-    words = F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != ""))
-    rate = F.length(plain) / seconds
-    stock = _strip(plain, " .!?,").isin(*STOCK_PHRASES)
-    return F.coalesce(~stock & (seconds >= 0.3) & (words >= 2) & rate.between(2, 30), F.lit(False))
+#: What recognisers make up over music and silence; least seconds and words of speech; characters a second.
+STOCK_PHRASES = ("you", "thank you", "thank you so much", "thanks for watching", "bye", "yeah", "the end", "so", "oh", "mm", "hmm")
+LEAST_SPEECH_SEC, LEAST_SPEECH_WORDS, SPEECH_RATE = 0.3, 2, (2.0, 30.0)
 
 
-#: Phrases that recognisers make up over silence.
-STOCK_PHRASES = ("thank you", "thanks for watching", "thank you for watching", "please subscribe", "you", "bye", "the end")
+def plausible_speech(text: Column, seconds: Column) -> Column:
+    """Whether a recognised text, without punctuation at its ends, can be speech of that length; false for null."""
+    plain = F.lower(_strip(F.trim(text), ".!?,"))
+    words = F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != ""))
+    return F.coalesce(~plain.isin(*STOCK_PHRASES) & (seconds >= LEAST_SPEECH_SEC) & (words >= LEAST_SPEECH_WORDS) & (F.length(plain) / seconds).between(*SPEECH_RATE), F.lit(False))
 
 
 def speaker_list(value: Column, upper: bool = False, distinct: bool = True) -> Column:
@@ -123,22 +122,33 @@ def first_value(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns])
 
 
+#: Names and beginnings of the roles of each group.
+ROLE_GROUPS = {
+    "D": (("d", "dx", "dialogue"), ("speaker:", "dialogue_")),
+    "M": (("m", "mx", "music"), ("music:", "music_cue:", "music_instrument:")),
+    "E": (("e", "fx", "sfx", "effects"), ("effects:",)),
+    "ME": (("me", "m&e", "music_effects"), ()),
+}
+#: Parts of a stem's name, and marks that stand alone in it, of each role.
+STEM_ROLES = {"dialogue": (("dialogue", "dialog", "vocal"), "dx"), "music_fx": (("music",), "mx"), "effects": (("effect",), "fx")}
+
+
 def role_group(role: Column) -> Column:
-    """D, M, E or ME of a source's role; null for others."""
-    r = F.lower(F.trim(role))
-    return (
-        F.when(r.isin("music_effects", "music_fx", "me", "m&e"), "ME")
-        .when(r.isin("dialogue", "dialog", "dx", "speech", "voice") | r.startswith("speaker") | r.startswith("dialogue"), "D")
-        .when(r.isin("music", "mx", "score") | r.startswith("music"), "M")
-        .when(r.isin("effects", "fx", "sfx", "ambience", "foley", "room_tone") | r.startswith("fx") | r.startswith("effects"), "E")
-    )
+    """D, M, E or ME of a source's role; null for others. A group's names and beginnings are tried before the next group's."""
+    r, found = F.lower(role), None
+    for group, (names, heads) in ROLE_GROUPS.items():
+        hit = reduce(lambda a, b: a | b, [r.startswith(h) for h in heads], r.isin(*names))
+        found = F.when(hit, group) if found is None else found.when(hit, group)
+    return found
 
 
 def stem_role(name: Column) -> Column:
-    """dialogue, music_fx or effects by the tokens of a stem's file name; null for others."""
-    tokens = F.split(F.lower(name), r"[^a-z0-9]+")
-    has = lambda *xs: reduce(lambda a, b: a | b, [F.array_contains(tokens, x) for x in xs])
-    return F.when(has("dialogue", "dialog", "dx", "vocals", "speech"), "dialogue").when(has("music", "mx", "instrumental"), "music_fx").when(has("effects", "fx", "sfx", "mne"), "effects")
+    """dialogue, music_fx or effects by what a stem's file name (without the user's prefix) holds; null for others."""
+    text, found = F.lower(name), None
+    for role, (parts, mark) in STEM_ROLES.items():
+        hit = reduce(lambda a, b: a | b, [text.contains(p) for p in parts], text.rlike(rf"(^|[_-]){mark}($|[_-])"))
+        found = F.when(hit, role) if found is None else found.when(hit, role)
+    return found
 
 
 def quoted_identifier(path: Column, role: Column) -> Column:

@@ -159,11 +159,14 @@ def activity(mono: np.ndarray, rate: int, threshold: float = -50.0, hop_sec: flo
     return {"peak_dbfs": peak_dbfs(mono), "rms_dbfs": rms_dbfs(mono), "voiced_ratio": float((levels > threshold).mean()) if len(levels) else 0.0}
 
 
-def speech_rms(x: np.ndarray, fallback: float = 0.0) -> float:
-    """RMS of the samples at a quarter of the 75th percentile of magnitudes and above."""
-    a = np.abs(x)
-    loud = a[a >= np.percentile(a, 75) / 4] if a.size else a
-    return rms(loud) if loud.size else fallback
+def speech_rms(x: np.ndarray, fallback: np.ndarray) -> float:
+    """RMS of the frames at a quarter of the 75th percentile of magnitudes (of the channels' mean) and above, 1e-5 at least; the fallback's where there are none."""
+    if x.size:
+        a = np.abs(to_mono(x))
+        loud = a >= max(float(np.percentile(a, 75)) / 4, 1e-5)
+        if loud.any():
+            return rms(x[loud])
+    return rms(fallback)
 
 
 def limit_peak(x: np.ndarray, ceiling: float = 0.99) -> tuple[np.ndarray, float]:
@@ -174,22 +177,19 @@ def limit_peak(x: np.ndarray, ceiling: float = 0.99) -> tuple[np.ndarray, float]
 
 
 def equal_power_ramp(n: int) -> np.ndarray:
-    return np.sin(np.linspace(0, np.pi / 2, n)) if n > 1 else np.ones(max(0, n))
+    """Sine from 0 towards 1, which is not reached."""
+    return np.sin(np.pi / 2 * np.arange(n) / n) if n > 0 else np.empty(0)
 
 
 def segment_mask(n: int, rate: int, segments: list[tuple[float, float]], fade_ms: float) -> np.ndarray:
-    """Gain 1 inside the segments with equal-power fades outside them."""
-    out, fade = np.zeros(n), round(fade_ms / 1000 * rate)
-    ramp = equal_power_ramp(fade)
+    """Gain 1 inside the segments, with equal-power fades inside their ends; the greater gain where they overlap."""
+    out = np.zeros(n)
     for start, end in segments:
-        a, b = max(0, round(start * rate)), min(n, round(end * rate))
-        if b <= a:
-            continue
-        out[a:b] = 1
-        lead = max(0, a - fade)
-        out[lead:a] = np.maximum(out[lead:a], ramp[len(ramp) - (a - lead) :])
-        tail = min(n, b + fade)
-        out[b:tail] = np.maximum(out[b:tail], ramp[::-1][: tail - b])
+        a = min(n, max(0, round(start * rate)))
+        b = min(n, max(a, round(end * rate)))
+        fade = min(max(0, round(fade_ms / 1000 * rate)), (b - a) // 2)
+        ramp = equal_power_ramp(fade)
+        out[a:b] = np.maximum(out[a:b], np.concatenate([ramp, np.ones(b - a - 2 * fade), ramp[::-1]]))
     return out
 
 
@@ -197,7 +197,7 @@ def fade_edges(x: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(x) // 2)
     out = np.array(x, float)
     if n:
-        ramp = np.square(equal_power_ramp(n)).reshape(-1, *[1] * (out.ndim - 1))
+        ramp = np.square(np.sin(np.linspace(0, np.pi / 2, n))).reshape(-1, *[1] * (out.ndim - 1))
         out[:n] *= ramp
         out[-n:] *= ramp[::-1]
     return out
@@ -207,19 +207,22 @@ def tile(x: np.ndarray, n: int) -> np.ndarray:
     return np.resize(x, (n, *x.shape[1:])) if len(x) else np.zeros((n, *x.shape[1:]))
 
 
-def granular_loop(donor: np.ndarray, n: int, grain: int, fade: int, seed: int) -> np.ndarray:
-    """A loop of n samples of faded grains taken at seeded places of the donor, overlapping by the fade."""
-    rng, out, weight = np.random.default_rng(seed), np.zeros(n), np.zeros(n)
-    grain = min(grain, len(donor))
-    fade = min(fade, max(1, grain // 2))
-    window = np.ones(grain)
-    window[:fade], window[grain - fade :] = equal_power_ramp(fade) ** 2, equal_power_ramp(fade)[::-1] ** 2
+def granular_loop(donor: np.ndarray, n: int, grain: int, fade: int, rng: np.random.Generator | int) -> np.ndarray:
+    """A loop of n samples of grains taken anywhere in the donor, faded with equal power where they overlap; what runs over its end is laid over its beginning."""
+    rng, donor = np.random.default_rng(rng), to_mono(donor)
+    if not donor.size or n <= 0:
+        return np.zeros(max(0, n))
+    grain = max(2, min(grain, donor.size))
+    fade = max(1, min(fade, grain // 2))
+    ramp = equal_power_ramp(fade)
+    window = np.concatenate([ramp, np.ones(grain - 2 * fade), ramp[::-1]])
+    out = np.zeros(n + grain)
     for at in range(0, n, max(1, grain - fade)):
-        start = int(rng.integers(0, len(donor) - grain + 1))
-        index = (at + np.arange(grain)) % n
-        np.add.at(out, index, donor[start : start + grain] * window)
-        np.add.at(weight, index, window)
-    return out / np.maximum(weight, 1e-6)
+        start = int(rng.integers(0, max(1, donor.size - grain)))
+        out[at : at + grain] += donor[start : start + grain] * window
+    over = out[n : n + min(fade, n)]
+    out[: len(over)] += over
+    return out[:n]
 
 
 def dry_wet(dry: np.ndarray, wet: np.ndarray, amount: float) -> np.ndarray:

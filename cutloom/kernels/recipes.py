@@ -38,6 +38,11 @@ class Programme:
     p: dict[str, float]
     rng: np.random.Generator
     events: list[tuple[float, float]]
+    wet: float = 1.0
+    ceiling_db: float = -1.0
+
+    def limited(self, x: np.ndarray) -> np.ndarray:
+        return pcm.limit_peak(x, 10 ** (self.ceiling_db / 20))[0]
 
     def any(self, *names: str) -> np.ndarray:
         for n in names:
@@ -56,31 +61,48 @@ def _filtered(x: np.ndarray, gain: Callable[[np.ndarray, np.ndarray], np.ndarray
     return out
 
 
-def _smoothed(mask: np.ndarray, frames: int, bins: int) -> np.ndarray:
-    for axis, n in ((0, int(frames)), (1, int(bins))):
-        if n > 0:
-            kernel = np.ones(2 * n + 1) / (2 * n + 1)
-            mask = np.apply_along_axis(lambda v: np.convolve(np.pad(v, n, "edge"), kernel, "valid"), axis, mask)
+def _smoothed(mask: np.ndarray, frames: float, bins: float) -> np.ndarray:
+    """Gaussian smoothing with those deviations, edges repeated."""
+    for axis, s in ((0, float(frames)), (1, float(bins))):
+        if s > 0:
+            n = int(4 * s + 0.5)
+            kernel = np.exp(-0.5 * (np.arange(-n, n + 1) / s) ** 2)
+            mask = np.apply_along_axis(lambda v: np.convolve(np.pad(v, n, "edge"), kernel / kernel.sum(), "valid"), axis, mask)
     return mask
 
 
-def ducking(g: Programme) -> dict[str, np.ndarray]:
-    dx = pcm.to_mono(g.any("dx"))
-    gain = ducking_envelope(dx, g.rate, g.p["threshold_dbfs"], g.p["activity_range_db"], g.p["depth_db"], g.p["attack_ms"], g.p["hold_ms"], g.p["release_ms"])
-    return {r: g.roles[r] * pcm.fit_length(gain, len(g.roles[r]))[:, None] for r in ("mx", "fx") if r in g.roles} | {"gain": gain[:, None]}
+def _mix(parts: list[np.ndarray]) -> np.ndarray:
+    n, channels = max(map(len, parts)), max(x.shape[1] for x in parts)
+    return sum(pcm.fit_length(pcm.match_channels(x, channels), n) for x in parts)
 
 
-def unmasking(g: Programme) -> dict[str, np.ndarray]:
-    back = g.any("background", "mx", "fx")
-    dx = pcm.fit_length(pcm.to_mono(g.any("dx")), len(back))
+def ducking(g: Programme) -> dict[str, np.ndarray]:
+    """The untouched dialogue, each background ducked under it, their mix, and by background its gain and the dialogue's activity."""
+    dx, targets = g.any("dx"), [r for r in ("mx", "fx") if r in g.roles]
+    if not targets:
+        raise ValueError("dialogue_aware_ducking needs mx or fx")
+    out = {"dx": dx.copy()}
+    for r in targets:
+        x = g.roles[r]
+        activity, gain = ducking_envelope(pcm.fit_length(dx, len(x)), g.rate, g.p["threshold_dbfs"], g.p["activity_range_db"], g.p["depth_db"], g.p["attack_ms"], g.p["hold_ms"], g.p["release_ms"])
+        out |= {r: pcm.dry_wet(x, x * gain[:, None], g.wet), f"{r}_gain": gain[:, None], f"{r}_dx_activity": activity[:, None]}
+    return out | {"mix": g.limited(_mix([dx, *(out[r] for r in targets)]))}
 
-    def gain(magnitude: np.ndarray, f: np.ndarray) -> np.ndarray:
-        n = 2 * (len(f) - 1)
-        d = np.abs(stft(dx, n, n // 4)) ** (2 * g.p["mask_power"])
-        share = d / (d + magnitude ** (2 * g.p["mask_power"]) + 1e-12)
-        return 10 ** (-g.p["max_reduction_db"] * _smoothed(share, g.p["time_smoothing_frames"], g.p["frequency_smoothing_bins"]) / 20)
 
-    return {"background": _filtered(back, gain, g.rate, int(g.p["fft_size"]))}
+def unmasking(g: Programme) -> dict[str, np.ndarray]:
+    """The untouched dialogue, the background lowered where both overlap, their mix, and the gain by bin and frame."""
+    name = next((r for r in ("background", "mx", "fx") if r in g.roles), None)
+    if name is None:
+        raise ValueError("spectral_unmasking needs a background, mx or fx")
+    back, whole = g.roles[name], g.any("dx")
+    dx = pcm.fit_length(pcm.match_channels(whole, back.shape[1]), len(back))
+    n = int(min(g.p["fft_size"], 2 ** int(np.log2(max(64, len(back))))))
+    d, b = (np.abs(stft(pcm.to_mono(x), n, n // 4)) for x in (dx, back))
+    overlap = _smoothed(d / (d + b + 1e-12), g.p["time_smoothing_frames"], g.p["frequency_smoothing_bins"])
+    mask = 10 ** (-g.p["max_reduction_db"] * np.clip(overlap, 0, 1) ** g.p["mask_power"] / 20)
+    wet = np.stack([istft(stft(back[:, c], n, n // 4) * mask, len(back), n, n // 4) for c in range(back.shape[1])], axis=1)
+    out = pcm.dry_wet(back, wet, g.wet)
+    return {"dx": whole.copy(), name: out, "mix": g.limited(_mix([dx, out])), "spectral_gain_mask": mask}
 
 
 def rebalance(g: Programme) -> dict[str, np.ndarray]:
@@ -113,11 +135,13 @@ def perspective(g: Programme) -> dict[str, np.ndarray]:
 
 
 def review(g: Programme) -> dict[str, np.ndarray]:
+    """The untouched source, and of each event an extract with some padding and faded ends, numbered from one as the events are."""
     x = g.any("source", "dx", "mix")
-    out = {"bypass": x}
-    for n, (a, b) in enumerate(g.events or [(0.0, len(x) / g.rate)]):
-        part = pcm.slice_seconds(x, g.rate, max(0.0, a - g.p["padding_seconds"]), b + g.p["padding_seconds"])
-        out[f"region_{n:03d}"] = pcm.fade_edges(part, round(g.p["fade_ms"] / 1000 * g.rate))
+    out = {"bypass": x.copy()}
+    for n, (a, b) in enumerate(g.events, 1):
+        start, end = max(0, int(np.floor((a - g.p["padding_seconds"]) * g.rate))), min(len(x), int(np.ceil((b + g.p["padding_seconds"]) * g.rate)))
+        if end > start:
+            out[f"review_region_{n:03d}"] = pcm.fade_edges(x[start:end], round(g.p["fade_ms"] / 1000 * g.rate))
     return out
 
 
@@ -186,6 +210,10 @@ RECIPES: dict[str, Callable[[Programme], dict[str, np.ndarray]]] = {
 }
 
 
+#: Recipes that mix and limit their outputs themselves.
+FINISHED = ("dialogue_aware_ducking", "spectral_unmasking", "review_region_variants")
+
+
 def resolved(name: str, given: dict[str, float] | None = None) -> dict[str, float]:
     """Parameters of a recipe with defaults; an unknown name or a value out of bounds is an error."""
     if name not in PARAMETERS:
@@ -209,7 +237,9 @@ def render(name: str, roles: dict[str, np.ndarray], rate: int, given: dict[str,
         if key in own:
             raise ValueError(f"role {key} is given twice")
         own[key] = np.atleast_2d(np.asarray(x, float).T).T
-    out = RECIPES[name](Programme(own, rate, resolved(name, given), np.random.default_rng(seed), list(events)))
+    out = RECIPES[name](Programme(own, rate, resolved(name, given), np.random.default_rng(seed), list(events), dry_wet, ceiling_db))
+    if name in FINISHED:
+        return out
     for key in out:
         if key in own and out[key].shape == own[key].shape and dry_wet < 1:
             out[key] = pcm.dry_wet(own[key], out[key], dry_wet)

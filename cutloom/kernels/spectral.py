@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cutloom.kernels.pcm import dry_wet, fit_length, hop_levels
+from cutloom.kernels.pcm import FLOOR_DB, dry_wet, fit_length, to_mono
 
 
 def hann(n: int) -> np.ndarray:
@@ -35,12 +35,15 @@ def _triangles(edges: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.minimum((frequencies - low) / np.maximum(mid - low, 1e-9), (high - frequencies) / np.maximum(high - mid, 1e-9)))
 
 
-def mel_filterbank(bands: int, n_fft: int, rate: int) -> np.ndarray:
-    """Triangular filters, evenly spaced in mel (2595 log10(1 + f / 700)), of equal area."""
+def _unit_rows(bank: np.ndarray) -> np.ndarray:
+    return bank / np.maximum(bank.sum(axis=1, keepdims=True), 1e-12)
+
+
+def mel_filterbank(bands: int, n_fft: int, rate: int, lowest: float = 20.0) -> np.ndarray:
+    """Triangular filters, evenly spaced in mel (2595 log10(1 + f / 700)) from 20 Hz up, each with sum one."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
-    edges = 700 * (10 ** (np.linspace(0, mel(rate / 2), bands + 2) / 2595) - 1)
-    bank = _triangles(edges, np.fft.rfftfreq(n_fft, 1 / rate)[None, :])
-    return bank * (2 / (edges[2:] - edges[:-2]))[:, None]
+    edges = 700 * (10 ** (np.linspace(mel(lowest), mel(rate / 2), bands + 2) / 2595) - 1)
+    return _unit_rows(_triangles(edges, np.fft.rfftfreq(n_fft, 1 / rate)[None, :]))
 
 
 def bark(f: np.ndarray) -> np.ndarray:
@@ -48,8 +51,9 @@ def bark(f: np.ndarray) -> np.ndarray:
 
 
 def bark_filterbank(bands: int, n_fft: int, rate: int) -> np.ndarray:
+    """Triangular filters, evenly spaced in Bark, each with sum one."""
     z = bark(np.fft.rfftfreq(n_fft, 1 / rate))
-    return _triangles(np.linspace(0, z[-1], bands + 2), z[None, :])
+    return _unit_rows(_triangles(np.linspace(0, z[-1], bands + 2), z[None, :]))
 
 
 def dct_basis(coefficients: int, bands: int) -> np.ndarray:
@@ -61,14 +65,14 @@ def dct_basis(coefficients: int, bands: int) -> np.ndarray:
 
 
 def spectral_contrast(power: np.ndarray, frequencies: np.ndarray, bands: int = 6) -> np.ndarray:
-    """90th over 10th percentile in dB, in bands evenly spaced on a logarithmic scale from 60 Hz."""
-    edges = np.geomspace(60, max(120, frequencies[-1]), bands + 1)
+    """90th over 10th percentile in dB, in bands evenly spaced on a logarithmic scale from 100 Hz."""
+    edges = np.geomspace(100, max(101, frequencies[-1]), bands + 1)
     out = np.zeros(bands)
     for i in range(bands):
         own = power[(frequencies >= edges[i]) & (frequencies < edges[i + 1])]
         if own.size:
             low, high = np.percentile(own, [10, 90])
-            out[i] = 10 * np.log10(max(high, 1e-12) / max(low, 1e-12))
+            out[i] = 10 * np.log10((high + 1e-12) / (low + 1e-12))
     return out
 
 
@@ -81,13 +85,17 @@ def harmonicity(mono: np.ndarray, rate: int) -> float:
 
 
 def stereo_features(x: np.ndarray) -> tuple[float, float, float, float]:
-    """Balance, width, correlation, loss in dB when folded down."""
-    left, right = (x[:, 0], x[:, 1]) if x.ndim == 2 and x.shape[1] > 1 else (np.ravel(x), np.ravel(x))
-    a, b = float((left**2).mean()), float((right**2).mean())
-    mid, side = float((((left + right) / 2) ** 2).mean()), float((((left - right) / 2) ** 2).mean())
-    corr = float((left * right).mean() / np.sqrt(a * b)) if a > 0 and b > 0 else 0.0
-    fold = 10 * np.log10(max(mid, 1e-12) / max((a + b) / 2, 1e-12))
-    return (b - a) / max(a + b, 1e-12), side / max(mid + side, 1e-12), corr, fold
+    """Balance of left over right in dB, width (side over mid, as amplitudes), correlation, share of the amplitude lost when folded down."""
+    if x.ndim < 2 or x.shape[1] < 2:
+        return 0.0, 0.0, 1.0, 0.0
+    left, right = x[:, 0].astype(float), x[:, 1].astype(float)
+    power = lambda v: float(np.square(v).mean())
+    a, b, mid, side = power(left), power(right), power((left + right) / 2), power((left - right) / 2)
+    both, tiny = np.sqrt(a * b), 1e-12
+    balance = np.clip(10 * np.log10(max(a, tiny) / max(b, tiny)), -120, 120)
+    together = np.clip((left * right).mean() / both, -1, 1) if both > tiny else 1.0
+    lost = np.clip(1 - np.sqrt(mid / max((a + b) / 2, tiny)), 0, 1)
+    return float(balance), float(min(np.sqrt(side / max(mid, tiny)), 1e6)), float(together), float(lost)
 
 
 def _biquad(kind: str, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +133,21 @@ class KWeighting:
         return x
 
 
-def log_bands(mono: np.ndarray, rate: int, window_sec: float = 0.05, hop_sec: float = 0.025, bands: int = 16) -> np.ndarray:
-    """log(1 + energy) in bands evenly spaced on a logarithmic scale, frame by frame."""
+def log_band_frames(mono: np.ndarray, rate: int, window_sec: float = 0.05, hop_sec: float = 0.025, bands: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """log(1 + mean power) of bands of bins, evenly spaced on a logarithmic scale, frame by frame; the frames' middles in seconds."""
     n, hop = max(16, round(window_sec * rate)), max(1, round(hop_sec * rate))
-    if len(mono) < n:
-        mono = fit_length(np.asarray(mono, float), n)
-    frames = 1 + (len(mono) - n) // hop
-    index = np.arange(n)[None, :] + hop * np.arange(frames)[:, None]
-    power = np.abs(np.fft.rfft(np.asarray(mono, float)[index] * hann(n), axis=1)) ** 2
-    edges = np.geomspace(50, rate / 2, bands + 1)
-    place = np.digitize(np.fft.rfftfreq(n, 1 / rate), edges) - 1
-    out = np.zeros((frames, bands))
-    for b in range(bands):
-        out[:, b] = power[:, place == b].sum(axis=1)
-    return np.log1p(out)
+    x = fit_length(np.asarray(mono, float), max(n, len(mono)))
+    frames = np.lib.stride_tricks.sliding_window_view(x, n)[::hop]
+    power = np.abs(np.fft.rfft(frames * np.hanning(n), axis=1)) ** 2
+    bins = power.shape[1]
+    edges = np.clip(np.unique(np.rint(np.geomspace(1, bins, bands + 1)).astype(int)), 1, bins)
+    spans = [(a, max(a + 1, b)) for a, b in zip(edges, edges[1:])] or [(1, bins)]
+    out = np.stack([power[:, a:b].mean(axis=1) for a, b in spans], axis=1)
+    return np.log1p(out), (np.arange(len(frames)) * hop + n / 2) / rate
+
+
+def log_bands(mono: np.ndarray, rate: int, window_sec: float = 0.05, hop_sec: float = 0.025, bands: int = 16) -> np.ndarray:
+    return log_band_frames(mono, rate, window_sec, hop_sec, bands)[0]
 
 
 def fingerprint(mono: np.ndarray, rate: int, bands: int = 16) -> np.ndarray:
@@ -148,12 +157,15 @@ def fingerprint(mono: np.ndarray, rate: int, bands: int = 16) -> np.ndarray:
 
 
 def change_points(mono: np.ndarray, rate: int, window_sec: float, threshold: float) -> list[float]:
-    """Times where neighbouring windows' fingerprints differ by the threshold and most in their surroundings."""
-    n = max(1, round(window_sec * rate))
-    prints = [fingerprint(mono[i : i + n], rate) for i in range(0, len(mono) - n + 1, n)]
-    d = np.array([1 - float(a @ b) for a, b in zip(prints, prints[1:])])
-    wide = np.concatenate([[-np.inf], d, [-np.inf]])
-    return [float((i + 1) * window_sec) for i in range(len(d)) if d[i] >= threshold and d[i] > wide[i] and d[i] >= wide[i + 2]]
+    """Middles of the windows whose bands are apart from the window before by the threshold (cosine), and no less than its neighbours are."""
+    frames, times = log_band_frames(mono, rate, window_sec, window_sec)
+    if len(frames) < 3:
+        return []
+    size = np.linalg.norm(frames, axis=1)
+    both = size[1:] * size[:-1]
+    apart = np.where(both > 0, 1 - np.einsum("ij,ij->i", frames[1:], frames[:-1]) / np.where(both > 0, both, 1), 1.0)
+    peak = (apart[1:-1] >= threshold) & (apart[1:-1] >= apart[:-2]) & (apart[1:-1] >= apart[2:])
+    return [float(times[i + 2]) for i in np.nonzero(peak)[0]]
 
 
 def frame_features(mono: np.ndarray, rate: int, n_fft: int = 2048, hop: int = 512, bands: int = 40, coefficients: int = 13) -> dict[str, np.ndarray]:
@@ -194,24 +206,36 @@ def repeated_motifs(similarity: np.ndarray, hop_sec: float, threshold: float = 0
     return taken
 
 
-def ducking_envelope(detector: np.ndarray, rate: int, threshold: float, span: float, depth: float, attack_ms: float, hold_ms: float, release_ms: float) -> np.ndarray:
-    """Gain of a background under a detector: activity from its level over `span` dB, held, smoothed, at most `depth` dB down."""
-    levels, hop = hop_levels(detector, rate, 0.01)
-    active = np.clip((levels - threshold) / max(span, 1e-6), 0, 1)
-    hold = max(0, round(hold_ms / 1000 / hop))
-    held = np.array([active[max(0, i - hold) : i + 1].max() for i in range(len(active))])
-    up, down = (float(np.exp(-hop / max(ms / 1000, 1e-4))) for ms in (attack_ms, release_ms))
-    out, value = np.empty(len(held)), 0.0
-    for i, v in enumerate(held):
-        k = up if v > value else down
-        value = k * value + (1 - k) * v
-        out[i] = value
-    gain = 10 ** (-depth * out / 20)
-    return np.interp(np.arange(len(detector)) / rate, np.arange(len(gain)) * hop, gain) if len(gain) else np.ones(len(detector))
+def _window_max(x: np.ndarray, n: int) -> np.ndarray:
+    """Greatest of each value and the n - 1 that follow it."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.full(n - 1, x[-1])]), n).max(axis=1)
+
+
+def ducking_envelope(detector: np.ndarray, rate: int, threshold: float, span: float, depth: float, attack_ms: float, hold_ms: float, release_ms: float) -> tuple[np.ndarray, np.ndarray]:
+    """Activity of a detector (its level over `span` dB, held), and the gain under it: at most `depth` dB down, smoothed by attack and release.
+
+    Levels are running means of power over 20 ms, looked at every 5 ms.
+    """
+    mono = to_mono(detector)
+    if not mono.size:
+        return np.empty(0), np.empty(0)
+    n, hop = max(1, round(rate * 0.02)), max(1, round(rate * 0.005))
+    total = np.cumsum(np.concatenate([[0], np.pad(np.square(mono), (n // 2, n - n // 2 - 1), "edge")]))
+    level = np.sqrt(np.maximum((total[n:] - total[:-n])[::hop] / n, 0))
+    db = np.where(level > 0, np.maximum(20 * np.log10(np.maximum(level, 1e-300)), FLOOR_DB), FLOOR_DB)
+    active = _window_max(np.clip((db - threshold) / span, 0, 1), max(1, int(np.ceil(hold_ms * rate / (1000 * hop)))))
+    wanted = 10 ** (-depth * active / 20)
+    down, up = (float(np.exp(-hop / max(ms * rate / 1000, 1))) for ms in (attack_ms, release_ms))
+    gain = wanted.tolist()
+    for i in range(1, len(gain)):
+        k = down if gain[i] < gain[i - 1] else up
+        gain[i] = k * gain[i - 1] + (1 - k) * gain[i]
+    at, places = np.arange(len(mono)), np.minimum(np.arange(len(gain)) * hop, len(mono) - 1)
+    return np.clip(np.interp(at, places, active), 0, 1), np.clip(np.interp(at, places, gain), 10 ** (-depth / 20), 1)
 
 
 def duck(background: np.ndarray, dialogue: np.ndarray, rate: int, depth: float = 9.0, amount: float = 1.0) -> np.ndarray:
-    gain = ducking_envelope(fit_length(dialogue, len(background)), rate, -45.0, 20.0, depth, 20.0, 150.0, 400.0)
+    _, gain = ducking_envelope(fit_length(dialogue, len(background)), rate, -45.0, 20.0, depth, 20.0, 150.0, 400.0)
     return dry_wet(background, background * gain, amount)
 
 
@@ -253,14 +277,39 @@ MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 NOTES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 
 
+#: The chords that are told apart, by root and kind, and none.
+CHORDS = (*(f"{n}:maj" for n in NOTES), *(f"{n}:min" for n in NOTES), "N")
+
+
+def _cosines(rows: np.ndarray, templates: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(templates, axis=1)[None, :]
+    return np.where(size > np.finfo(np.float32).eps, rows @ templates.T / np.where(size > 0, size, 1), 0.0)
+
+
 def estimate_key(chroma: np.ndarray) -> tuple[str, str, float]:
-    """Tonic, mode and confidence (lead over the second best, relative) of a chroma vector or the mean of its frames."""
+    """Tonic, mode and confidence ((lead over the second best + 1) / 2) of a chroma vector or the mean of its frames (rows)."""
     v = np.asarray(chroma, float)
-    v = v.mean(axis=0) if v.ndim == 2 else v
-    rank = []
-    for mode, profile in (("major", MAJOR), ("minor", MINOR)):
-        for i in range(12):
-            p = np.roll(profile, i)
-            rank.append((float(v @ p / ((np.linalg.norm(v) or 1) * np.linalg.norm(p))), NOTES[i], mode))
-    rank.sort(reverse=True)
-    return rank[0][1], rank[0][2], max(0.0, (rank[0][0] - rank[1][0]) / max(abs(rank[0][0]), 1e-9))
+    v = np.atleast_2d(v.mean(axis=0) if v.ndim == 2 and len(v) else v)
+    if not v.size:
+        return "unknown", "", 0.0
+    names = [(n, mode) for n in NOTES for mode in ("major", "minor")]
+    scores = _cosines(v, np.array([np.roll(p, i) for i in range(12) for p in (MAJOR, MINOR)]))[0]
+    order = np.argsort(-scores, kind="stable")
+    return *names[order[0]], float(np.clip((scores[order[0]] - scores[order[1]] + 1) / 2, 0, 1))
+
+
+def estimate_chords(chroma: np.ndarray, times: np.ndarray) -> list[tuple[float, float, str, float]]:
+    """Runs of frames (rows of 12) with the same chord: start, end, chord, mean confidence. Frames with hardly any energy have none."""
+    chroma = np.asarray(chroma, float)
+    if not chroma.size:
+        return []
+    shapes = [sorted({0, third, 7}) for third in (4, 3)]
+    templates = np.array([[float(p in {(root + s) % 12 for s in shape}) for p in range(12)] for shape in shapes for root in range(12)])
+    scores, energy = _cosines(chroma, templates), chroma.sum(axis=1)
+    quiet = energy <= max(float(np.percentile(energy, 10)) / 4, 1e-6)
+    label = np.where(quiet, 24, scores.argmax(axis=1))
+    sure = np.where(quiet, 0.0, np.clip(scores.max(axis=1), 0, 1))
+    hop = float(np.median(np.diff(times))) if len(times) > 1 else 0.0
+    begins = np.concatenate([[0], np.nonzero(np.diff(label))[0] + 1])
+    ends = np.concatenate([begins[1:], [len(label)]])
+    return [(float(times[a]), float(times[b - 1] + hop), CHORDS[label[a]], float(sure[a:b].mean())) for a, b in zip(begins, ends)]

@@ -74,17 +74,27 @@ def means_over_frames(rows: DataFrame, frames: DataFrame, on: list[str], key: st
     return frames_of(rows.select(*on, key, "start", "end"), frames, on, hop).groupBy(*on, key).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def keyframes(start: Column, end: Column, count: int = 3) -> Column:
-    """Evenly spaced frames of [start, end) that keep off the cuts, without repetition."""
-    span = end - start
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: (start + F.floor(span * i / (count + 1))).cast("bigint")))
+#: Frames next to a cut that are kept off; rounds of windows that are offered.
+EDGE_FRAMES, ROUNDS = 2, 4
 
 
-def probe_starts(duration: Column, window: float, count: int, round_: int = 0) -> Column:
-    """Starts of windows spread over a programme; each further round shifts them by a part of a stratum."""
-    room = F.greatest(F.lit(0.0), duration - window)
-    stratum = room / count
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.round(stratum * (i + F.lit((0.5 + 0.37 * round_) % 1.0)), 3)))
+def keyframes(start: Column, end: Column, count: int = 3) -> Column:
+    """Evenly spaced frames of [start, end), both ends included; frames next to the cuts are left out where the shot is long enough."""
+    long = end - 1 - start >= 2 * EDGE_FRAMES + count
+    low, high = F.when(long, start + EDGE_FRAMES).otherwise(start), F.when(long, end - 1 - EDGE_FRAMES).otherwise(end - 1)
+    middle = F.array(F.floor((low + high) / 2))
+    if count == 1:
+        return middle
+    spread = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (low + F.rint(i * (high - low) / (count - 1))).cast("bigint"))
+    return F.when(high <= low, middle).otherwise(F.array_sort(F.array_distinct(spread)))
+
+
+def probe_starts(duration: Column, window: float, count: int, rounds: int = ROUNDS) -> Column:
+    """Starts of windows in the order in which they are tried: each round spans the programme, the next ones shift it."""
+    span = duration - window
+    tries = F.sequence(F.lit(0), F.lit(count * rounds - 1))
+    starts = F.transform(tries, lambda n: span * (n % count + (F.floor(n / count) + 0.5) / rounds) / count)
+    return F.when(span <= 0, F.array(F.lit(0.0))).otherwise(F.array_distinct(starts))
 
 
 def accepted_gaps(gaps: DataFrame, silent_db: float = -80.0, crest: float = 6.0) -> DataFrame:

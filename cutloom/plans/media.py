@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 LEVELS = "lv AS (SELECT user_id % 5 AS prog, event_type source, row_number() OVER (PARTITION BY user_id % 5, event_type ORDER BY ts, event_id) - 1 i, round(value % 60 - 60, 6) level FROM events)"
-WORDS = "wd AS (SELECT o_orderkey k, o_orderkey % 5 AS prog, o_custkey % 300 * 1.5 s, o_custkey % 300 * 1.5 + 1 + o_orderkey % 4 e FROM orders WHERE o_orderkey % 50 = 1)"
+WORDS = "wd AS (SELECT o_orderkey k, o_orderkey % 5 AS prog, o_custkey % 300 * 1.5 s, o_custkey % 300 * 1.5 + 1 + o_orderkey % 4 e FROM orders)"
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,8 @@ def scene_fusion(spark: SparkSession, d: str) -> DataFrame:
     return ac.boundary_scores(rows).select("vec_id", F.round("score", 6).alias("score"), "variant")
 
 
-@query("keyframes", f"WITH {SHOTS}, f AS (SELECT shot_id, CAST(round_even(start_ms * 0.024, 0) AS BIGINT) a, CAST(round_even(end_ms * 0.024, 0) AS BIGINT) b FROM sh), k AS (SELECT DISTINCT shot_id, a + (b - a) * i // 4 frame FROM f, generate_series(1, 3) t(i)) SELECT shot_id, frame FROM k")
+@query("keyframes", f"""WITH {SHOTS}, f AS (SELECT shot_id, CAST(round_even(start_ms * 0.024, 0) AS BIGINT) a, CAST(round_even(end_ms * 0.024, 0) AS BIGINT) b FROM sh), g AS (SELECT shot_id, CASE WHEN b - 1 - a >= 7 THEN a + 2 ELSE a END lo, CASE WHEN b - 1 - a >= 7 THEN b - 3 ELSE b - 1 END hi FROM f),
+    k AS (SELECT DISTINCT shot_id, CASE WHEN hi <= lo THEN (lo + hi) // 2 ELSE lo + CAST(round_even(i * (hi - lo) / 2.0::DOUBLE, 0) AS BIGINT) END frame FROM g, generate_series(0, 2) t(i)) SELECT shot_id, frame FROM k""")
 def keyframes(spark: SparkSession, d: str) -> DataFrame:
     frame = lambda c: F.rint(F.col(c) * 0.024).cast("bigint")
     return shots(spark, d).select("shot_id", F.explode(ac.keyframes(frame("start_ms"), frame("end_ms"))).alias("frame"))

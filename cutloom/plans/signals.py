@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutloom.common import latest, table
@@ -10,6 +10,7 @@ from cutloom.functions import levels as lv
 from cutloom.functions import names as nm
 from cutloom.functions import timecode as tc
 from cutloom.functions.vectors import dot, norm, unit
+from cutloom.operators import activity as ac
 from cutloom.operators import identity as idn
 from cutloom.operators import sequences as sq
 from cutloom.operators import statistics as st
@@ -317,8 +318,9 @@ def masking(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "line_outliers_mad",
-    """WITH r AS (SELECT o_orderkey k, CAST(o_custkey AS VARCHAR) s, o_totalprice x FROM orders WHERE o_custkey % 10 = 3), g AS (SELECT *, count(*) OVER (PARTITION BY s) n FROM r),
-    p AS (SELECT a.k, a.s, a.x, median(b.x) m FROM g a JOIN g b ON a.s = b.s AND a.k != b.k WHERE a.n >= 3 GROUP BY 1, 2, 3), q AS (SELECT p.k, p.s, p.x, p.m, 1.4826 * median(abs(b.x - p.m)) sc FROM p JOIN g b ON p.s = b.s AND p.k != b.k GROUP BY 1, 2, 3, 4)
+    """WITH r AS (SELECT o_orderkey k, CAST(o_custkey AS VARCHAR) s, o_totalprice x FROM orders), g AS (SELECT *, count(*) OVER (PARTITION BY s) n FROM r),
+    o AS (SELECT a.k, a.s, a.x, b.x y FROM g a JOIN g b ON a.s = b.s AND a.k != b.k WHERE a.n >= 3 UNION ALL SELECT a.k, a.s, a.x, b.x y FROM g a JOIN g b ON a.k != b.k WHERE a.n < 3),
+    p AS (SELECT k, s, x, median(y) m FROM o GROUP BY 1, 2, 3), q AS (SELECT p.k, p.s, p.x, p.m, 1.4826 * median(abs(o.y - p.m)) sc FROM p JOIN o ON o.k = p.k GROUP BY 1, 2, 3, 4)
     SELECT k, s, round(CASE WHEN sc > 1e-6 THEN abs((x - m) / sc) ELSE 0 END, 6) score FROM q WHERE CASE WHEN sc > 1e-6 THEN abs((x - m) / sc) ELSE 0 END >= 3.5""",
 )
 def outliers(spark: SparkSession, d: str) -> DataFrame:
@@ -326,9 +328,46 @@ def outliers(spark: SparkSession, d: str) -> DataFrame:
     return st.line_outliers(rows, "k", "s", ["x"])
 
 
-@query("role_groups", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE 'music%' THEN 'M' WHEN lower(p_type) LIKE 'fx%' OR lower(p_type) LIKE 'effects%' THEN 'E' WHEN lower(p_type) LIKE 'speaker%' OR lower(p_type) LIKE 'dialogue%' THEN 'D' END grp FROM part")
+#: Writings of roles and of stems' names that the two queries below meet.
+ROLE_TEXTS = ("Dialogue", "dx", "D", "speaker:ann", "speakers", "dialogue_left", "speech", "Music", "mx", "music_cue:3", "musical", "music_effects", "M&E", "fx", "SFX", "effects:wind", "effects", "foley", "room_tone")
+STEM_TEXTS = ("vocal", "x_dialogue1", "reel_DX", "redux", "music-bed", "mx_02", "mix", "instrumental", "sound_effects", "fx", "sfx", "take-fx-1")
+
+
+def _texts_sql(texts: tuple[str, ...]) -> str:
+    return f"[{', '.join(repr(t) for t in texts)}][p_partkey % {len(texts)} + 1]"
+
+
+def _texts(texts: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts) + 1).cast("int"))
+
+
+@query(
+    "role_groups",
+    f"""WITH t AS (SELECT p_partkey, lower({_texts_sql(ROLE_TEXTS)}) r FROM part) SELECT p_partkey, CASE WHEN r IN ('d', 'dx', 'dialogue') OR r LIKE 'speaker:%' OR starts_with(r, 'dialogue_') THEN 'D'
+    WHEN r IN ('m', 'mx', 'music') OR r LIKE 'music:%' OR starts_with(r, 'music_cue:') OR starts_with(r, 'music_instrument:') THEN 'M' WHEN r IN ('e', 'fx', 'sfx', 'effects') OR r LIKE 'effects:%' THEN 'E'
+    WHEN r IN ('me', 'm&e', 'music_effects') THEN 'ME' END grp FROM t""",
+)
 def role_groups(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", nm.role_group(F.col("p_type")).alias("grp"))
+    return table(spark, d, "part").select("p_partkey", nm.role_group(_texts(ROLE_TEXTS)).alias("grp"))
+
+
+@query(
+    "stem_roles",
+    f"""WITH t AS (SELECT p_partkey, lower({_texts_sql(STEM_TEXTS)}) r FROM part) SELECT p_partkey, CASE WHEN contains(r, 'dialogue') OR contains(r, 'dialog') OR contains(r, 'vocal') OR regexp_matches(r, '(^|[_-])dx($|[_-])') THEN 'dialogue'
+    WHEN contains(r, 'music') OR regexp_matches(r, '(^|[_-])mx($|[_-])') THEN 'music_fx' WHEN contains(r, 'effect') OR regexp_matches(r, '(^|[_-])fx($|[_-])') THEN 'effects' END role FROM t""",
+)
+def stem_roles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", nm.stem_role(_texts(STEM_TEXTS)).alias("role"))
+
+
+@query(
+    "probe_starts",
+    """WITH s AS (SELECT p_partkey, p_size * 20.0::DOUBLE - 30 span FROM part), t AS (SELECT p_partkey, span, span * (i + (r + 0.5::DOUBLE) / 4) / 3 st FROM s, generate_series(0, 3) a(r), generate_series(0, 2) b(i) WHERE span > 0)
+    SELECT p_partkey, round(st, 6) start_sec FROM t UNION SELECT p_partkey, 0 FROM s WHERE span <= 0""",
+)
+def probe_starts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", F.explode(ac.probe_starts(F.col("p_size") * F.lit(20.0), 30.0, 3)).alias("start_sec"))
+    return rows.select("p_partkey", F.round("start_sec", 6).alias("start_sec"))
 
 
 # ---- names, texts, registries ---------------------------------------------------------------------------------------
@@ -371,8 +410,8 @@ def clean_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "plausible_speech",
-    """WITH t AS (SELECT pos, trim(lower(text)) p, end_sec - start_sec s FROM dialogue_lines WHERE text IS NOT NULL AND NOT isnan(start_sec) AND NOT isnan(end_sec) AND end_sec > start_sec)
-    SELECT pos, coalesce(trim(p, ' .!?,') NOT IN ('thank you', 'thanks for watching', 'thank you for watching', 'please subscribe', 'you', 'bye', 'the end') AND s >= 0.3 AND len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w != '')) >= 2 AND length(p) / s BETWEEN 2 AND 30, false) ok FROM t""",
+    """WITH t AS (SELECT pos, lower(trim(trim(text), '.!?,')) p, end_sec - start_sec s FROM dialogue_lines WHERE text IS NOT NULL AND NOT isnan(start_sec) AND NOT isnan(end_sec) AND end_sec > start_sec)
+    SELECT pos, coalesce(p NOT IN ('you', 'thank you', 'thank you so much', 'thanks for watching', 'bye', 'yeah', 'the end', 'so', 'oh', 'mm', 'hmm') AND s >= 0.3 AND len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w != '')) >= 2 AND length(p) / s BETWEEN 2 AND 30, false) ok FROM t""",
 )
 def plausible(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "dialogue_lines").where("text IS NOT NULL AND NOT isnan(start_sec) AND NOT isnan(end_sec) AND end_sec > start_sec")

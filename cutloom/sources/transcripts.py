@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -18,13 +18,13 @@ from cutloom.sources.manifests import read_rows
 
 #: Normalised headers of each column, and what is no dialogue.
 ID = ("line_id", "id", "cue_id", "number", "no")
-START = ("start_sec", "start", "start_tc", "timecode", "timecode_in", "tc_in", "in", "start_time")
-END = ("end_sec", "end", "end_tc", "timecode_out", "tc_out", "out", "end_time")
-SPEAKER = ("speaker", "character", "char", "name")
-TEXT = ("text", "dialogue", "english_dialogue", "line", "transcript", "content")
-STRUCTURAL = ("SCENE", "ACT", "TITLE", "CHAPTER", "END", "NOTE")
-ON_SCREEN = ("ON-SCREEN", "ONSCREEN", "ON SCREEN", "GRAPHIC", "SUPER")
-NO_DIALOGUE = r"(?i)^\s*(?:walla|sings|singing|laughs|grunts|efforts)\b.*$"
+START = ("start_sec", "start", "in", "in_sec", "time_sec", "time", "start_tc", "start_timecode", "start_time_code", "in_timecode", "in_time_code", "tc", "timecode")
+END = ("end_sec", "end", "out", "out_sec", "end_tc", "end_timecode", "end_time_code", "out_timecode", "out_time_code")
+SPEAKER = ("speaker", "speaker_name", "character", "character_name", "source", "name", "on_screen_speaker", "onscreen_speaker")
+TEXT = ("dialogue", "dialog", "line", "text", "english", "english_dialogue")
+STRUCTURAL = ("NARRATIVE TITLE", "MAIN TITLE", "LAST FRAME OF PICTURE")
+ON_SCREEN = ("ON-SCREEN TEXT", "ON-SCEEN TEXT")
+NO_DIALOGUE = r"(?i)^<(walla|laughing walla|sings|sing|indistinct)[^>]*>\s*(\(|$)"
 
 
 def xlsx_rows(content: bytes) -> list[list[str]]:
@@ -118,7 +118,11 @@ def transcript_lines(rows: DataFrame, fps: float, on_screen: bool = False) -> Da
 
     cells = F.transform_keys("cells", lambda k, _: normalize_header(k))
     rows = rows.withColumn("__c", cells).withColumn("__n", F.row_number().over(Window.orderBy("pos")))  # a transcript is one file
-    pick = lambda names: F.coalesce(*[F.nullif(F.trim(F.try_element_at("__c", F.lit(n))), F.lit("")) for n in names])
+
+    def pick(names: tuple[str, ...]) -> Column:
+        cells = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.nullif(F.trim(F.try_element_at("__c", n)), F.lit("")))
+        return F.get(F.array_compact(cells), F.lit(0))
+
     start, end = seconds_value(pick(START), fps), seconds_value(pick(END), fps)
     out = rows.select(
         F.coalesce(pick(ID), F.format_string("DL_%06d", "__n")).alias("line_id"), "pos", start.alias("start"), F.coalesce(end, start).alias("end"), canonical_speaker_name(pick(SPEAKER)).alias("speaker"), clean_text(pick(TEXT)).alias("text")

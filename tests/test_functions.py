@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cutloom.functions import languages, levels, names, timecode, vectors
@@ -56,10 +57,13 @@ def test_names(spark):
     assert one(spark, names.pad_shot_id(c, 4), x=" 12 ") == "0012"
     assert one(spark, names.pad_shot_id(c), x="A7") == "A7"
     assert one(spark, names.speaker_list(c, upper=True), x="Ann; bob,ann , ") == ["ANN", "BOB"]
-    assert one(spark, names.role_group(c), x="music_effects") == "ME"
+    roles = {"music_effects": "ME", "M&E": "ME", "d": "D", "speaker:ann": "D", "speakers": None, "speech": None, "music_cue:1": "M", "score": None, "effects:wind": "E", "foley": None}
+    assert {r: one(spark, names.role_group(c), x=r) for r in roles} == roles
+    stems = {"vocal": "dialogue", "x_dialogue1": "dialogue", "redux": None, "a_dx": "dialogue", "instrumental": None, "mx-1": "music_fx", "effect": "effects", "sfx": None}
+    assert {r: one(spark, names.stem_role(c), x=r) for r in stems} == stems
+    heard = {"thank you.": False, "Thank you so much.": False, "please subscribe": True, "come in now": True, "a b!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!": True, "one": False}
+    assert {t: one(spark, names.plausible_speech(c, F.lit(1.0)), x=t) for t in heard} == heard
     assert one(spark, names.infer_shot_id(c), x="/a/0042/0042_speaker_01.wav") == "0042"
-    assert one(spark, names.plausible_speech(c, F.lit(1.0)), x="thank you.") is False
-    assert one(spark, names.plausible_speech(c, F.lit(1.0)), x="come in now") is True
     assert one(spark, names.word_capacity(c), x="it_is, so") == 3
     assert one(spark, without_accents(c), x="Ñandú straße é") == "Nandu strasse e"
 
@@ -76,7 +80,29 @@ def test_levels_and_languages(spark):
     assert one(spark, languages.language_code(c), x=" German ") == "de"
     assert one(spark, languages.recogniser_code(c), x="Klingon") == "klingon"
     assert one(spark, languages.is_spaceless(c), x="ja") is True
-    assert len(languages.LANGUAGES) == 31
+    known = {"farsi": "fa", "Deutsch": "de", "Mandarin": "zh", "mk": "mk", "Swahili": "sw", "kiswahili": "sw", "Filipino": "tl", "tl": "tl", "bn": None, "eng": None, "YUE": "yue", "": None}
+    assert {x: one(spark, languages.language_code(c), x=x) for x in known} == known
+    assert one(spark, languages.language_name(c), x="persian (farsi)") == "Persian"
+    assert len(languages.LANGUAGES) == 31 and languages.supported()[0][0] == "Arabic" and languages.supported()[1][-1] == "zh"
+    assert one(spark, languages.validated(c), x="Thai") == "th"
+    with pytest.raises(Exception, match="Unsupported language Klingon. Supported speech languages: Arabic, Cantonese"):
+        one(spark, languages.validated(c), x="Klingon")
+
+
+def test_fingerprints(spark):
+    import hashlib
+    import json
+
+    values = ["b.wav", "ä", "a"]
+    entry = {v: json.dumps({"value_type": "str", "sha256": hashlib.sha256(json.dumps(v).encode()).hexdigest()}, sort_keys=True) for v in values}
+    df = spark.createDataFrame([(v,) for v in [*values, "", None]], "v string").select("v", levels.value_entry("v").alias("entry"))
+    got = df.agg(levels.list_fingerprint(F.collect_list(F.struct(F.col("v").alias("label"), "entry"))).alias("x")).first().x
+    whole = hashlib.sha256("".join(v + entry[v] for v in sorted(values)).encode()).hexdigest()
+    assert (got["count"], got["sha256"]) == (3, whole)
+    assert levels.stable_digest({"b": 1, "a": [2]}) == hashlib.sha256(b'{"a":[2],"b":1}').hexdigest()
+    content = spark.createDataFrame([(bytes(range(250)),)], "c binary")
+    assert content.select(levels.content_fingerprint(F.col("c"), 100)).first()[0] == hashlib.sha256(bytes([*range(100), *range(150, 250)])).hexdigest()
+    assert content.select(levels.content_fingerprint(F.col("c"), 200)).first()[0] == hashlib.sha256(bytes(range(200))).hexdigest()
 
 
 def test_vectors(spark):

@@ -43,7 +43,13 @@ def test_levels_masks_and_loops():
     levels, hop = pcm.hop_levels(np.concatenate([np.zeros(1600), np.ones(1600) * 0.5]), 16000)
     assert hop == 0.02 and levels[0] == -120 and abs(levels[-1] - 20 * np.log10(0.5)) < 1e-9
     mask = pcm.segment_mask(1000, 1000, [(0.2, 0.5)], 50)
-    assert mask[300] == 1 and mask[0] == 0 and 0 < mask[175] < 1
+    assert mask[300] == 1 and mask[199] == mask[200] == mask[500] == 0 and 0 < mask[225] < 1 and 0 < mask[475] < 1
+    donor = tone(32000, 16000, 110.0)
+    loop = pcm.granular_loop(donor, 16000, 4000, 800, 0)
+    assert loop.size == 16000 and np.abs(np.diff(loop)).max() < 3 * np.abs(np.diff(donor)).max()
+    ramp = pcm.equal_power_ramp(4)
+    assert ramp[0] == 0 and ramp[-1] == pytest.approx(np.sin(3 * np.pi / 8))
+    assert pcm.speech_rms(np.zeros(10), np.array([3.0, 4.0])) == pytest.approx(np.sqrt(12.5))
     a = pcm.granular_loop(tone(), 3000, 400, 50, 7)
     assert np.array_equal(a, pcm.granular_loop(tone(), 3000, 400, 50, 7)) and len(a) == 3000
     assert pcm.limit_peak(np.array([2.0, -1.0]))[1] == pytest.approx(0.495)
@@ -58,6 +64,26 @@ def test_loudness_weighting_keeps_state():
     assert np.allclose(whole, np.concatenate([k.process(x[:700]), k.process(x[700:])]))
 
 
+def test_filters_and_stereo():
+    for bank in (spectral.mel_filterbank(40, 2048, 48000), spectral.bark_filterbank(24, 2048, 48000)):
+        assert np.allclose(bank.sum(axis=1), 1)
+    assert spectral.mel_filterbank(4, 2048, 48000)[0, 0] == 0
+    t = tone()
+    assert spectral.stereo_features(np.stack([t, t], 1)) == pytest.approx((0, 0, 1, 0), abs=1e-6)
+    balance, width, together, lost = spectral.stereo_features(np.stack([t, -t], 1))
+    assert (balance, together, lost) == pytest.approx((0, -1, 1), abs=1e-6) and width > 1e3
+    assert spectral.stereo_features(np.stack([t, t / 10], 1))[0] == pytest.approx(20)
+    frames, times = spectral.log_band_frames(tone(), 16000)
+    assert frames.shape[0] == len(times) and times[0] == pytest.approx(0.025) and frames.shape[1] <= 16
+    both = np.concatenate([tone(16000, f=200), tone(16000, f=3000)])
+    assert spectral.change_points(both, 16000, 0.1, 0.05) == pytest.approx([1.05])
+    c = np.zeros((6, 12))
+    c[:3, [0, 4, 7]], c[3:5, [9, 0, 4]] = 1, 1
+    assert [(round(a, 1), round(b, 1), n) for a, b, n, _ in spectral.estimate_chords(c, np.arange(6) * 0.5)] == [(0.0, 1.5, "C:maj"), (1.5, 2.5, "A:min"), (2.5, 3.0, "N")]
+    label, mode, sure = spectral.estimate_key(np.roll(np.array(spectral.MAJOR), 7))
+    assert (label, mode) == ("G", "major") and 0.5 < sure < 1
+
+
 def test_descriptors():
     assert spectral.harmonicity(tone(), 16000) > 0.9 > spectral.harmonicity(np.random.default_rng(0).standard_normal(4000), 16000)
     f = spectral.frame_features(tone(16000), 16000)

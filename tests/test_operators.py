@@ -15,8 +15,13 @@ def test_tone_spans_join_neighbours_of_one_group(spark):
 def test_gap_reasons_and_probe_starts(spark):
     df = spark.createDataFrame([(-90.0, 0.0, 0.0), (-40.0, 0.9, 0.1), (-40.0, 0.2, 0.1)], "rms_db double, peak double, rms double")
     assert [r.reason for r in activity.accepted_gaps(df).collect()] == ["digital_silence", "transient", None]
-    a, b = (spark.range(1).select(activity.probe_starts(F.lit(100.0), 10.0, 3, r).alias("s")).first().s for r in (0, 1))
-    assert len(a) == 3 and a != b and all(0 <= x <= 90 for x in a + b)
+    a, b = spark.range(1).select(activity.probe_starts(F.lit(3600.0), 30.0, 3).alias("a"), activity.probe_starts(F.lit(10.0), 30.0, 3).alias("b")).first()
+    assert a[:3] == sorted(a[:3]) and a[0] < 1200 < a[1] < 2400 < a[2] and len(set(a)) == 12 and max(a) <= 3570 and b == [0.0]
+
+
+def test_keyframes_keep_off_the_cuts(spark):
+    got = [tuple(spark.range(1).select(activity.keyframes(F.lit(a), F.lit(b), n)).first()[0]) for a, b, n in ((100, 200, 3), (10, 12, 3), (10, 11, 3), (0, 7, 3), (0, 8, 3), (100, 200, 1))]
+    assert got == [(102, 150, 197), (10, 11), (10,), (0, 3, 6), (2, 4, 5), (149,)]
 
 
 def test_tracks_and_document(spark):

@@ -33,7 +33,7 @@ def test_clip_manifest_keeps_only_kept(spark, tmp_path):
 
 
 def test_transcript_csv(spark, tmp_path):
-    path = write(tmp_path / "t.csv", "Timecode,Character,English Dialogue\n00:00:01:00,ann,Hello (off) there.\n00:00:02:00,,nobody\n00:00:03:00,Scene,x\n00:00:09:12,Bob,<i>Bye</i>\n,Bob,no start\n")
+    path = write(tmp_path / "t.csv", "Timecode,Character,English Dialogue\n00:00:01:00,ann,Hello (off) there.\n00:00:02:00,,nobody\n00:00:03:00,Main Title,x\n00:00:09:12,Bob,<i>Bye</i>\n,Bob,no start\n")
     out = transcripts.parse_transcript(spark, path).orderBy("start").collect()
     assert [(r.line_id, r.start, r.end, r.speaker, r.text) for r in out] == [("DL_000001", 1.0, 4.0, "ANN", "Hello there"), ("DL_000004", 9.5, 12.5, "BOB", "Bye")]
 
