@@ -27,12 +27,12 @@ INVISIBLE = "­​‌‍‎‏⁠﻿"
 def without_accents(text: Column) -> Column:
     """Accented Latin letters as plain ones; combining marks dropped; German sharp s as ss."""
     plain = F.translate(text, ACCENTED, PLAIN)
-    return F.replace(F.regexp_replace(plain, r"\p{M}+", ""), F.lit("ß"), F.lit("ss"))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.replace(F.regexp_replace(plain, r"\p{M}+", ""), F.lit("ß"), F.lit("ss"))).otherwise(text)
 
 
 def folded_tokens(label: Column) -> Column:
     """Lower-case words and numbers of a label without accents, additions in brackets and repeated blanks."""
-    bare = F.regexp_replace(label, r"[\[(][^\])]*[\])]", " ")
+    bare = F.when(label.rlike(r"[\[(]"), F.regexp_replace(label, r"[\[(][^\])]*[\])]", " ")).otherwise(label)
     return F.regexp_extract_all(F.lower(without_accents(bare)), F.lit(r"([a-z]+|[0-9]+)"), F.lit(1))
 
 
