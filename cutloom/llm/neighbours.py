@@ -1,12 +1,15 @@
 """Most similar vectors of every vector, over learned partitions.
 
 A graph of nearest neighbours of a bounded sample is cut into balanced parts; a softmax classifier learns to tell a
-vector's part. Every vector is kept in its most probable part and asked for in its several most probable ones. Nearest
-neighbours that are not near (cosine under 0.6) lie in any part, so for them the parts asked grow with their number.
+vector's part. Every vector is kept in its most probable part and asked for in its several most probable ones. Where the
+sample is too small for as many parts as the vectors need, every part is cut again in the same way, from a sample of its
+own. Nearest neighbours that are not near (cosine under 0.6) lie in any part, so for them the parts asked grow with their
+number.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.common import cut_lineage, latest
 from cutloom.llm.vectors import newest_vectors, packed, sample, unpack
-from cutloom.common import latest
 
 #: Vectors from which the parts are learned; vectors that a part should hold; sample vectors a part needs at least.
 SAMPLE, PART, LEAST_SAMPLE = 8_192, 2_048, 16
@@ -25,6 +28,8 @@ PROBES = 3
 WIDE, SHARE = 12_288, 0.6
 #: Part's vectors that one task compares with; a part that the sample shows to be larger is split into blocks.
 BLOCK = 16_384
+#: Copies of one vector that one task expands; salts over which copies are spread before their number is known.
+COPIES, SALTS = 20_000, 16
 
 
 def nearest_of_sample(x: np.ndarray, k: int) -> np.ndarray:
@@ -190,14 +195,18 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
     """
     copies = latest(packed(df, key, vector, dim, version).select(key, version, F.md5("vec").alias("h")), key, version, ["h"]).where("h IS NOT NULL")
     groups = copies.groupBy("h").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    copies = copies.join(groups, "h").select(key, "rep").persist()
+    groups = groups.withColumn("salts", F.ceil(F.col("size") / COPIES).cast("int"))
+    spread = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = copies.withColumn("s", F.pmod(F.xxhash64(key), F.lit(SALTS))).join(spread, ["h", "s"]).select(key, "rep", "salts").persist()
     total_vectors = newest_vectors(df, key, vector, dim, version)
     others = copies.where(F.col(key) != F.col("rep")).select(key)
     vectors = total_vectors.join(others, key, "left_anti")
 
     count = df.select(F.approx_count_distinct(key)).first()[0]
     x = sample(packed(df, key, vector, dim, version), key, version, SAMPLE, dim, count)
-    router = Router(x, max(1, min(-(-count // (PART if near else WIDE)), len(x) // LEAST_SAMPLE)))
+    wanted = max(1, -(-count // (PART if near else WIDE)))
+    router = Router(x, max(1, min(wanted, len(x) // LEAST_SAMPLE)))
+    fine = -(-wanted // router.parts) if len(x) >= SAMPLE else 1
     probes = PROBES if near else max(PROBES, int(np.ceil(router.parts * SHARE)))
     blocks = np.maximum(1, np.ceil(router.share * count / BLOCK)).astype(int)
     sent = df.sparkSession.sparkContext.broadcast((router, blocks))
@@ -226,13 +235,65 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
         keys = group.column(key)
         return pa.table({key: keys.take(pa.array(a)), "neighbour": keys.take(pa.array(b)), "similarity": pa.array(c, pa.float64())})
 
-    routed = vectors.select(key, "vec").mapInArrow(route, f"part int, block int, own boolean, `{key}` {kind}, vec binary")
+    form = f"part int, block int, own boolean, `{key}` {kind}, vec binary"
+    if fine == 1:
+        routed = vectors.select(key, "vec").mapInArrow(route, form)
+    else:
+        routed = _cut_again(vectors.select(key, "vec"), router, key, kind, dim, probes, fine, count)
     found = routed.groupBy("part", "block").applyInArrow(search, f"`{key}` {kind}, neighbour {kind}, similarity double")
 
-    members = copies.select("rep", F.col(key).alias("member"))
-    first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("n") <= k + 1).drop("n")
-    asked = found.join(members.withColumnRenamed("rep", key), key, "left").select(F.coalesce("member", key).alias(key), "neighbour", "similarity")
-    asked = asked.join(first.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select(key, F.coalesce("member", "neighbour").alias("neighbour"), "similarity")
-    within = members.join(first.withColumnRenamed("member", "neighbour"), "rep").where("member != neighbour").select(F.col("member").alias(key), "neighbour", F.lit(1.0).alias("similarity"))
+    salted = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("s")
+    many = copies.groupBy("rep").agg(F.first("salts").alias("salts"))
+    members = copies.select("rep", F.col(key).alias("member"), F.when(F.col("salts") > 1, F.pmod(F.xxhash64(key), F.col("salts"))).otherwise(0).cast("int").alias("s"))
+    n = F.row_number()
+    first = members.withColumn("n", n.over(Window.partitionBy("rep", "s").orderBy("member"))).where(F.col("n") <= k + 1)
+    first = first.withColumn("n", n.over(Window.partitionBy("rep").orderBy("member"))).where(F.col("n") <= k + 1).select("rep", F.col("member").alias("neighbour"))
+    asked = found.join(many.withColumnRenamed("rep", key), key, "left").select(key, "neighbour", "similarity", salted)
+    asked = asked.join(members.withColumnRenamed("rep", key), [key, "s"], "left").select(F.coalesce("member", key).alias(key), "neighbour", "similarity")
+    asked = asked.join(first.select(F.col("rep").alias("neighbour"), F.col("neighbour").alias("member")), "neighbour", "left").select(key, F.coalesce("member", "neighbour").alias("neighbour"), "similarity")
+    within = first.join(many, "rep").select("rep", "neighbour", salted).join(members, ["rep", "s"]).where("member != neighbour").select(F.col("member").alias(key), "neighbour", F.lit(1.0).alias("similarity"))
     ranked = Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour")
     return asked.unionByName(within).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
+
+def _cut_again(vectors: DataFrame, router: Router, key: str, kind: str, dim: int, probes: int, fine: int, count: int) -> DataFrame:
+    """Route vectors over the parts of each part: part, block (the part's part), own, key, vec.
+
+    A router for each part is learned from at most SAMPLE of its vectors; those routers stay a table and meet the vectors
+    of their part, which are spread over as many tasks as the part's share of the sample asks for.
+    """
+    spread = np.maximum(1, np.ceil(router.share * count * probes / BLOCK)).astype(int)
+    shares = np.minimum(1.0, SAMPLE / np.maximum(1.0, router.share * count))
+    sent = vectors.sparkSession.sparkContext.broadcast((router, spread, shares))
+
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router, spread, shares = sent.value
+        rng = np.random.default_rng(0)
+        for batch in batches:
+            top = router.route(unpack(batch.column(1), dim), probes) if batch.num_rows else np.empty((0, 1), np.int64)
+            part, at = top.ravel(), np.repeat(np.arange(len(top)), top.shape[1])
+            own = np.tile(np.arange(top.shape[1]) == 0, len(top))
+            chosen = own & (rng.random(len(part)) < shares[part])
+            taken = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at % spread[part], pa.int32()), pa.array(own), pa.array(chosen), *taken.columns], names=["part", "s", "own", "chosen", key, "vec"])
+
+    rows = cut_lineage(vectors.mapInArrow(coarse, f"part int, s int, own boolean, chosen boolean, `{key}` {kind}, vec binary"))
+
+    def learn(group: pa.Table) -> pa.Table:
+        x = unpack(group.column("vec"), dim)[: 2 * SAMPLE]
+        made = Router(x, max(1, min(fine, len(x) // LEAST_SAMPLE)))
+        return pa.table({"part": group.column("part").slice(0, 1), "router": pa.array([pickle.dumps(made)], pa.binary())})
+
+    routers = rows.where("chosen").select("part", "vec").groupBy("part").applyInArrow(learn, "part int, router binary")
+    copies = F.element_at(F.array(*[F.lit(int(n)) for n in spread]), F.col("part") + 1)
+    routers = cut_lineage(routers).withColumn("s", F.explode(F.sequence(F.lit(0), copies - 1)))
+
+    def place(group: pa.Table, routers: pa.Table) -> pa.Table:
+        made = pickle.loads(routers.column("router")[0].as_py()) if routers.num_rows else None
+        top = made.route(unpack(group.column("vec"), dim), probes) if made and group.num_rows else np.zeros((group.num_rows, 1), np.int64)
+        taken = group.take(pa.array(np.repeat(np.arange(len(top)), top.shape[1])))
+        first = np.tile(np.arange(top.shape[1]) == 0, len(top))
+        own = taken.column("own").to_numpy(zero_copy_only=False).astype(bool) & first
+        return pa.table({"part": taken.column("part"), "block": pa.array(top.ravel(), pa.int32()), "own": pa.array(own), key: taken.column(key), "vec": taken.column("vec")})
+
+    return rows.drop("chosen").groupBy("part", "s").cogroup(routers.groupBy("part", "s")).applyInArrow(place, f"part int, block int, own boolean, `{key}` {kind}, vec binary")

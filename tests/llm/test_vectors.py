@@ -56,6 +56,34 @@ def test_recall_over_many_parts(spark, monkeypatch):
     assert np.mean([len({f"k{j:05d}" for j in near[i]} & got[f"k{i:05d}"]) for i in range(len(x))]) >= 9.0
 
 
+def test_parts_are_cut_again_where_the_sample_is_too_small(spark, monkeypatch):
+    x = made(60, 50, 600, seed=10, noise=0.2)
+    for name, value in (("PART", 100), ("SAMPLE", 512), ("LEAST_SAMPLE", 64), ("BLOCK", 700)):
+        monkeypatch.setattr(neighbours, name, value)
+    got = {}
+    for r in similar_vectors(frame(spark, x, BAD), "k", "e", DIM, "v", k=10, least=0.9, near=True).collect():
+        got.setdefault(r.k, set()).add(r.neighbour)
+    near, s = nearest(x, 10)
+    want = {f"k{i:05d}": {f"k{j:05d}" for j in near[i] if s[i, j] >= 0.9} for i in range(len(x))}
+    found = sum(len(want[k] & got.get(k, set())) for k in want)
+    assert sum(map(len, want.values())) > 20_000 and found >= 0.95 * sum(map(len, want.values()))
+
+
+def test_a_third_of_all_rows_are_one_vector(spark, monkeypatch):
+    x = made(20, 10, 200, seed=11)
+    x = np.vstack([x, np.repeat(x[:1] * 2, 200, axis=0)])
+    monkeypatch.setattr(neighbours, "COPIES", 30)
+    got = {}
+    for r in similar_vectors(frame(spark, x), "k", "e", DIM, "v", k=10).collect():
+        got.setdefault(r.k, {})[r.rank] = (r.neighbour, r.similarity)
+    same = [f"k{i:05d}" for i in (0, *range(400, 600))]
+    for k in same:
+        assert [got[k][n][0] for n in range(1, 11)] == [m for m in same if m != k][:10] and got[k][1][1] == 1
+    near, s = nearest(x, 10)
+    others = [np.sort(s[i])[-10:].sum() - sum(v for _, v in got[f"k{i:05d}"].values()) for i in range(1, 400)]
+    assert np.mean(others) < 0.1
+
+
 def test_most_similar_are_the_greatest():
     rng = np.random.default_rng(9)
     for width in (10, 300, 1000, 2077):
