@@ -28,8 +28,8 @@ PROBES = 3
 WIDE, SHARE = 12_288, 0.6
 #: Part's vectors that one task compares with; a part that the sample shows to be larger is split into blocks.
 BLOCK = 16_384
-#: Copies of one vector that one task expands; salts over which copies are spread before their number is known.
-COPIES, SALTS = 20_000, 16
+#: Copies of one vector that one task expands.
+COPIES = 20_000
 
 
 def nearest_of_sample(x: np.ndarray, k: int) -> np.ndarray:
@@ -193,11 +193,13 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
     neighbours with cosine 1. With `near`, only neighbours of a cosine near 1 are needed: parts are small, and few are
     asked. One vector or none gives an empty result. Columns beyond the named ones are ignored.
     """
-    copies = latest(packed(df, key, vector, dim, version).select(key, version, F.md5("vec").alias("h")), key, version, ["h"]).where("h IS NOT NULL")
+    copies = latest(packed(df, key, vector, dim, version).select(key, version, F.unhex(F.md5("vec")).alias("h")), key, version, ["h"]).where("h IS NOT NULL")
     groups = copies.groupBy("h").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = groups.withColumn("salts", F.ceil(F.col("size") / COPIES).cast("int"))
-    spread = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = copies.withColumn("s", F.pmod(F.xxhash64(key), F.lit(SALTS))).join(spread, ["h", "s"]).select(key, "rep", "salts").persist()
+    groups = groups.select("h", "rep", F.ceil(F.col("size") / COPIES).cast("int").alias("salts"))
+    large = F.broadcast(groups.where("salts > 1"))  # one row in COPIES vectors at most
+    tagged = copies.join(large, "h", "left")
+    small = tagged.where("rep IS NULL").select("h", key).join(groups.where("salts = 1"), "h")
+    copies = tagged.where("rep IS NOT NULL").select(key, "rep", "salts").unionByName(small.select(key, "rep", "salts")).persist()
     total_vectors = newest_vectors(df, key, vector, dim, version)
     others = copies.where(F.col(key) != F.col("rep")).select(key)
     vectors = total_vectors.join(others, key, "left_anti")
