@@ -88,6 +88,36 @@ def gap_segments(segments: DataFrame, totals: DataFrame, by: list[str], min_gap:
     return out.where((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") >= min_gap))
 
 
+def residual_ambience(ambience: DataFrame, covered: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Stretches of ambience: those marked so and what other stretches leave free of each entity, joined where they touch."""
+    return merge_segments(ambience.select(*by, "start", "end").unionByName(gap_segments(covered, totals, by).select(*by, "start", "end")), by)
+
+
+def merge_short_pieces(pieces: DataFrame, by: list[str], least: float) -> DataFrame:
+    """Pieces that follow one another, those shorter than `least` joined to what follows, a short last one to what stands before: by, start, end.
+
+    The pieces of one entity (the parts of one cue) are folded in order.
+    """
+    piece = pieces.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("p"))
+    element = "struct<start:double,end:double>"
+    ends = F.transform("p", lambda x: F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end")))
+    seed = F.struct(F.array().cast(f"array<{element}>").alias("done"), F.get(ends, F.lit(0)).alias("now"))
+
+    def step(state: Column, x: Column) -> Column:
+        short = state["now"]["end"] - state["now"]["start"] < least
+        joined = F.struct(F.when(short, state["now"]["start"]).otherwise(x["start"]).alias("start"), x["end"].alias("end"))
+        return F.struct(F.when(short, state["done"]).otherwise(F.concat(state["done"], F.array(state["now"]))).alias("done"), joined.alias("now"))
+
+    def close(state: Column) -> Column:
+        done, now = state["done"], state["now"]
+        short = (now["end"] - now["start"] < least) & (F.size(done) > 0)
+        last = F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), now["end"].alias("end"))
+        return F.when(short, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(last))).otherwise(F.concat(done, F.array(now)))
+
+    folded = F.aggregate(F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))), seed, step, close)
+    return piece.select(*by, F.explode(folded).alias("x")).select(*by, "x.start", "x.end")
+
+
 def inset_gaps(gaps: DataFrame, handle: float, min_gap: float) -> DataFrame:
     """Gaps shrunk on both sides; those shorter than min_gap afterwards are dropped."""
     out = gaps.withColumn("start", F.col("start") + handle).withColumn("end", F.col("end") - handle)

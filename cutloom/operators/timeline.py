@@ -38,6 +38,26 @@ def on_screen_marker(speakers: Column) -> Column:
     return F.when(F.size(speakers) > 0, F.concat(F.lit("on-screen: "), F.array_join(speakers, ", ")))
 
 
+def scene_markers(scenes: DataFrame, by: list[str], fps: float) -> DataFrame:
+    """A purple marker for each scene: by, name, start_frame, frames (one at least), color, scene_id, shot_ids."""
+    frame = lambda x: F.rint(x * fps).cast("bigint")
+    start, end = F.col("scene_start"), F.col("scene_end")
+    return scenes.select(
+        *by, F.concat(F.lit("SC"), F.col("scene_id").cast("string")).alias("name"), F.greatest(F.lit(0).cast("bigint"), frame(start)).alias("start_frame"),
+        F.greatest(F.lit(1).cast("bigint"), frame(end - start)).alias("frames"), F.lit("PURPLE").alias("color"), F.col("scene_id").cast("string").alias("scene_id"), F.coalesce("shot_ids", F.array().cast("array<string>")).alias("shot_ids"),
+    )
+
+
+def shifted(placements: DataFrame, offset: int) -> DataFrame:
+    """Placements that start `offset` frames earlier, at frame 0 at least; their lengths stay."""
+    return placements.withColumn("start_frame", F.greatest(F.lit(0).cast("bigint"), F.col("start_frame") - offset))
+
+
+def first_float(*columns: Column) -> Column:
+    """The first column that holds a number; null for none."""
+    return F.coalesce(*[F.trim(c.cast("string")).try_cast("double") for c in columns])
+
+
 def tag_scenes(clips: DataFrame, scenes: DataFrame, by: list[str]) -> DataFrame:
     """Clips with scene_id: of the scene that lists the shot (shot_ids array), else of the scene at the clip's start."""
     listed = scenes.select(*by, F.col("scene_id").alias("__listed"), F.explode("shot_ids").alias("shot_id")).dropDuplicates([*by, "shot_id"])

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cutloom.common import table
+from cutloom.common import latest, table
 from cutloom.operators import activity as ac
 from cutloom.operators import grouped as gr
+from cutloom.operators import media as md
 from cutloom.operators import registry as rg
+from cutloom.operators import sequences as sq
 from cutloom.operators import timeline as tl
-from cutloom.plans.shared import LINES, SHOTS, lines, shots
+from cutloom.plans.shared import CLIPS, LINES, SHOTS, clips, lines, shots
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -138,3 +140,78 @@ def agglomerative(spark: SparkSession, d: str) -> DataFrame:
 @query("dp_segments")
 def dp_segments(spark: SparkSession, d: str) -> DataFrame:
     return gr.scene_persistence(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding")
+
+
+# ---- faces, streams, clips, ambience, labels of segments ---------------------------------------------------------------
+
+FACES = "fc AS (SELECT face_id, b.s shot_id, b.x box FROM (SELECT face_id, max_by(struct_pack(s := shot_id, x := box), ingested_at) b FROM face_observations WHERE face_id IS NOT NULL GROUP BY 1)), tg AS (SELECT shot_id, b.x box FROM (SELECT shot_id, max_by(struct_pack(x := target_face_box), ingested_at) b FROM shots WHERE shot_id IS NOT NULL GROUP BY 1) WHERE b.x IS NOT NULL)"
+
+
+@query(
+    "best_target_face",
+    f"""WITH {FACES}, p AS (SELECT fc.shot_id, face_id, fc.box a, tg.box b FROM fc JOIN tg ON fc.shot_id = tg.shot_id), o AS (SELECT *, greatest(least(a[1] + a[3], b[1] + b[3]) - greatest(a[1], b[1]), 0)::DOUBLE * greatest(least(a[2] + a[4], b[2] + b[4]) - greatest(a[2], b[2]), 0) i, a[3]::DOUBLE * a[4] + b[3]::DOUBLE * b[4] u FROM p),
+    r AS (SELECT shot_id, face_id, coalesce(CASE WHEN u - i > 0 THEN i / (u - i) END, 0) iou FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY iou DESC, face_id) n FROM r) SELECT shot_id, face_id, round(iou, 6) iou FROM k WHERE n = 1 AND iou >= 0.1""",
+)
+def best_target_face(spark: SparkSession, d: str) -> DataFrame:
+    faces = latest(table(spark, d, "face_observations"), "face_id", "ingested_at", ["shot_id", "box"]).where("shot_id IS NOT NULL")
+    targets = latest(table(spark, d, "shots"), "shot_id", "ingested_at", ["target_face_box"]).where("target_face_box IS NOT NULL").withColumnRenamed("target_face_box", "box")
+    return md.best_target_face(faces, targets, ["shot_id"], "face_id").select("shot_id", "face_id", F.round("iou", 6).alias("iou"))
+
+
+@query(
+    "clip_representatives",
+    f"WITH {CLIPS}, u AS (SELECT coalesce(nullif(trim(line_id), ''), nullif(trim(shot_id), ''), clip_id) unit, clip_id, -(pos % 7)::DOUBLE lv FROM cl), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY lv DESC, clip_id) n FROM u) SELECT unit, clip_id, lv AS peak FROM k WHERE n = 1",
+)
+def clip_representatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = clips(spark, d).select("clip_id", md.clip_unit(F.col("line_id"), F.col("shot_id"), F.col("clip_id")).alias("unit"), (-(F.col("pos") % 7)).cast("double").alias("peak"))
+    return md.representatives(rows, "unit", "clip_id", "peak")
+
+
+STREAMS = "st AS (SELECT l_orderkey k, l_linenumber i, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE CAST(l_quantity AS INT) % 8 END c, CASE CAST(l_quantity AS INT) % 9 WHEN 0 THEN 'Stereo' WHEN 1 THEN '5.1(side)' ELSE '' END y FROM lineitem)"
+
+
+@query(
+    "stereo_program",
+    f"""WITH {STREAMS}, g AS (SELECT k, count(*) n, list(i ORDER BY i) ix, list(c ORDER BY i) cs, min(i) FILTER (c = 2 OR lower(y) = 'stereo') s2, min(i) FILTER (c >= 6 OR lower(y) LIKE '%5.1%') s6 FROM st GROUP BY 1),
+    f AS (SELECT *, n >= 6 AND list_max(list_slice(cs, 1, 6)) = 1 AND list_min(list_slice(cs, 1, 6)) = 1 m6, n >= 8 AND list_max(list_slice(cs, 1, 8)) = 1 AND list_min(list_slice(cs, 1, 8)) = 1 m8 FROM g)
+    SELECT k, CASE WHEN m8 THEN 'first_mono_pair_2_0_program' WHEN s2 IS NOT NULL THEN 'stereo_stream' WHEN s6 IS NOT NULL THEN 'downmix_5_1_stream' WHEN m6 THEN 'downmix_six_mono_5_1' ELSE 'first_audio_stream_to_stereo' END choice,
+    array_to_string(CASE WHEN m8 THEN list_slice(ix, 1, 2) WHEN s2 IS NOT NULL THEN [s2] WHEN s6 IS NOT NULL THEN [s6] WHEN m6 THEN list_slice(ix, 1, 6) ELSE list_slice(ix, 1, 1) END, ',') indices FROM f""",
+)
+def stereo_program(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    channels, layout = F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(q % 8), F.when(q % 9 == 0, "Stereo").when(q % 9 == 1, "5.1(side)").otherwise("")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("index"), channels.alias("channels"), layout.alias("layout"))
+    return md.stereo_program(rows, ["k"]).select("k", "choice", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"))
+
+
+@query(
+    "residual_ambience",
+    f"""WITH {LINES}, {SHOTS}, cv AS (SELECT reel_id, start_ms s, end_ms e FROM ln), am AS (SELECT reel_id, start_ms s, end_ms e FROM sh WHERE start_ms % 3 = 0), tt AS (SELECT reel_id, max(e) t FROM (SELECT * FROM cv UNION ALL SELECT reel_id, start_ms, end_ms FROM sh) GROUP BY 1),
+    ge AS (SELECT reel_id, s, e FROM cv UNION ALL SELECT reel_id, t, t FROM tt), gp AS (SELECT reel_id, greatest(0, coalesce(max(e) OVER (PARTITION BY reel_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) f, s FROM ge),
+    al AS (SELECT reel_id, f s, s e FROM gp WHERE s > f UNION ALL SELECT * FROM am), fl AS (SELECT *, CASE WHEN s > coalesce(max(e) OVER (PARTITION BY reel_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END w FROM al),
+    nm AS (SELECT *, sum(w) OVER (PARTITION BY reel_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) n FROM fl) SELECT reel_id, min(s) "start", max(e) "end" FROM nm GROUP BY reel_id, n""",
+)
+def residual_ambience(spark: SparkSession, d: str) -> DataFrame:
+    spans = lambda rows: rows.select("reel_id", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
+    covered, own = spans(lines(spark, d)), spans(shots(spark, d))
+    totals = covered.unionByName(own).groupBy("reel_id").agg(F.max("end").alias("total"))
+    return sq.residual_ambience(own.where("start % 3 = 0"), covered, totals, ["reel_id"])
+
+
+@query(
+    "scene_markers",
+    f"WITH {SHOTS} SELECT reel_id, 'SC' || shot_id AS name, greatest(0, CAST(round_even(start_ms / 1000.0::DOUBLE * 24, 0) AS BIGINT)) start_frame, greatest(1, CAST(round_even((end_ms / 1000.0::DOUBLE - start_ms / 1000.0::DOUBLE) * 24, 0) AS BIGINT)) frames, 'PURPLE' color FROM sh",
+)
+def scene_markers(spark: SparkSession, d: str) -> DataFrame:
+    rows = shots(spark, d).select("reel_id", F.col("shot_id").alias("scene_id"), (F.col("start_ms") / 1000).alias("scene_start"), (F.col("end_ms") / 1000).alias("scene_end"), F.array("shot_id").alias("shot_ids"))
+    return tl.scene_markers(rows, ["reel_id"], 24.0).select("reel_id", "name", "start_frame", "frames", "color")
+
+
+@query(
+    "segment_labels",
+    """WITH w AS (SELECT l_orderkey k, l_linenumber w, l_returnflag label, CAST(l_discount AS DOUBLE) s FROM lineitem), m AS (SELECT k, label, sum(s) t FROM w GROUP BY 1, 2), c AS (SELECT k, count(DISTINCT w) n FROM w GROUP BY 1),
+    r AS (SELECT m.k, label, t / n p, row_number() OVER (PARTITION BY m.k ORDER BY round(t / n, 9) DESC, label) o FROM m JOIN c ON c.k = m.k) SELECT o_orderkey k, coalesce(label, 'ambience') label, round(coalesce(p, 0), 6) confidence FROM orders LEFT JOIN r ON r.k = o_orderkey AND o = 1""",
+)
+def segment_labels(spark: SparkSession, d: str) -> DataFrame:
+    windows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("window"), F.col("l_returnflag").alias("label"), F.col("l_discount").cast("double").alias("score"))
+    return md.segment_labels(windows, table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), ["k"]).select("k", "label", F.round("confidence", 6).alias("confidence"))

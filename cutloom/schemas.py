@@ -30,3 +30,6 @@ FEATURES = "artifact_id string, name string, kind string, unit string, value var
 SERIES = "artifact_id string, name string, i bigint, t_sec double, value double"
 MATRIX = "artifact_id string, name string, i bigint, vec array<float>"
 ANALYZERS = "artifact_id string, analyzer string, version string, status string, error string, cache_key string"
+
+#: The tables by name, as `sources.captured` reads them.
+TABLES = {name.lower(): ddl for name, ddl in list(globals().items()) if name.isupper() and isinstance(ddl, str)}
