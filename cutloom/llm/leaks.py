@@ -16,6 +16,8 @@ from cutloom.llm.normal import words
 SHINGLE, PASSAGE, EDIT_EVERY = 5, 20, 8
 #: Most item words that are sent to every task; more items are joined in several passes over the corpus.
 BROADCAST_WORDS = 2_000_000
+#: Characters that count as one more word in that size, for texts without blanks.
+LONG_WORD = 64
 
 
 class Items:
@@ -33,6 +35,10 @@ class Items:
         self.hashes = np.array(sorted(places), np.uint64)
         self.places = [places[h] for h in self.hashes.tolist()]
         self.needed = np.ones(len(self.hashes), bool)
+        self.own: list[dict[int, list[int]]] = [{} for _ in self.keys]
+        for k, where in enumerate(self.places):
+            for i, p in where:
+                self.own[i].setdefault(k, []).append(p)
 
     def coded(self, text: str | None) -> np.ndarray:
         """The words as numbers of the items' vocabulary; 0 for other words."""
@@ -108,16 +114,12 @@ def leaked(items: Items, text: str | None) -> list[int]:
     at, which = items.hits(coded)
     if not len(at) or not items.needed[which].any():
         return []
-    by = defaultdict(list)
-    necessary = set()
-    for p, k in zip(at.tolist(), which.tolist()):
-        for i, q in items.places[k]:
-            by[i].append((p, q))
-            if items.needed[k]:
-                necessary.add(i)
+    held = list(zip(at.tolist(), which.tolist()))
+    necessary = {i for k in set(which[items.needed[which]].tolist()) for i, _ in items.places[k]}
     out = []
     for i in sorted(necessary):
-        item, pairs = items.words[i], sorted(by[i])
+        item, own = items.words[i], items.own[i]
+        pairs = [(p, q) for p, k in held if k in own for q in own[k]]
         reach = len(item) + len(item) // EDIT_EVERY
         groups = [[pairs[0]]]
         for x in pairs[1:]:
@@ -155,8 +157,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     """
     spark = docs.sparkSession
     rows = items.select(item_key, text).where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).distinct()
-    total = rows.agg(F.sum(F.size(F.split(text, r"\s+")))).first()[0] or 0
-    parts = -(-total // BROADCAST_WORDS) or 1
+    total = rows.agg(F.sum(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")) + F.length(text) / LONG_WORD)).first()[0] or 0
+    parts = int(-(-total // BROADCAST_WORDS)) or 1
     source = docs.select(doc_key, text).where(F.col(doc_key).isNotNull() & F.col(text).isNotNull())
     schema, found = f"`{doc_key}` {dict(docs.dtypes)[doc_key]}, `{item_key}` {dict(items.dtypes)[item_key]}", None
     for part in range(parts):
