@@ -473,7 +473,7 @@ def apply_labels(spark: SparkSession, d: str) -> DataFrame:
     return idn.apply_labels(table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster_id"), F.col("n_name").alias("name")), labels, ["cluster_id"])
 
 
-LANG = "CASE lower(trim(lang)) WHEN 'en' THEN 'en' WHEN 'eng' THEN 'en' WHEN 'english' THEN 'en' WHEN 'de' THEN 'de' WHEN 'ger' THEN 'de' WHEN 'deu' THEN 'de' WHEN 'german' THEN 'de' WHEN 'es' THEN 'es' WHEN 'spa' THEN 'es' WHEN 'spanish' THEN 'es' END"
+LANG = "CASE WHEN lower(trim(lang)) IN ('en', 'english') THEN 'en' WHEN lower(trim(lang)) IN ('de', 'german', 'deutsch') THEN 'de' WHEN lower(trim(lang)) IN ('es', 'spanish', 'castilian', 'castellano') THEN 'es' END"
 
 
 @query(
