@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from cutloom.llm import neighbours
+from cutloom.llm import clusters, neighbours
 from cutloom.llm.clusters import Mixture, describe_clusters, similarity_clusters
 from cutloom.llm.neighbours import Router, balanced_parts, nearest_of_sample, similar_vectors
 
@@ -139,6 +139,23 @@ def test_clusters(spark):
     assert sum(r["size"] for r in table) == len(got) and all(1 <= len(r.typical) <= 3 for r in table)
 
 
+def test_clusters_of_a_small_table(spark):
+    """A handful of rows has its clusters, too."""
+    x = made(3, 4, 2, seed=12, noise=0.2)
+    got = {(r.k, r.cluster) for r in similarity_clusters(frame(spark, x), "k", "e", DIM, "v").collect()}
+    assert got == {(f"k{i:05d}", f"k{i - i % 4:05d}") for i in range(12)}
+
+
+def test_members_are_judged_by_all_members(spark, monkeypatch):
+    x = made(3, 200, 0, seed=14, noise=0.4)
+    for name, value in (("SAMPLE", 40), ("LEAST_SAMPLE", 40)):
+        monkeypatch.setattr(clusters, name, value, raising=False)
+    rows = similarity_clusters(frame(spark, x), "k", "e", DIM, "v").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    of = lambda k: u[int(k[1:])] @ u[int(k[1:]) // 200 * 200 :][:200].mean(axis=0)
+    assert len(rows) == 600 and all(abs(r.typicality - of(r.k)) < 1e-3 for r in rows)
+
+
 def test_information_criterion_finds_the_groups():
     x = made(12, 40, 60, seed=6, noise=0.3)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
