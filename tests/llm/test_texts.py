@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutloom.llm import leaks as lk
+from cutloom.llm import subjects
 from cutloom.llm.normal import sentences, words
 from cutloom.llm.subjects import GROUPS, area_of_label, grown_patterns, subject_areas
 from cutloom.llm.tokens import VOCABULARY, ChunkEncoder, encode_corpus, encoder
@@ -125,6 +126,18 @@ def test_held_out_accuracy(spark):
     assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
 
 
+def test_rules_are_mined_from_all_documents(spark, monkeypatch):
+    """No bound of documents, and no bound of what a task holds, has a part in the rules."""
+    docs, truth = corpus(300, 9)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    named = spark.createDataFrame([(d, a) for d in range(120) for a in truth[d] or [None]], "doc_id bigint, area string")
+    table = lambda r: {t: {a: round(p, 9) for a, p in x.items()} for t, x in zip([*r.terms, *[(r.terms[a], r.terms[b]) for a, b in r.pairs]], r.sure)}
+    whole = table(subjects.mine_rules(df, named))
+    for name, value in (("LABELLED", 30), ("HELD_TERMS", 20), ("HELD_BAGS", 10)):
+        monkeypatch.setattr(subjects, name, value, raising=False)
+    assert len(whole) > 20 and table(subjects.mine_rules(df, named)) == whole
+
+
 @pytest.mark.parametrize("labels", [[], [(1, None)]])
 def test_no_labels_give_no_areas(spark, labels):
     df = spark.createDataFrame([(1, "One two three four.")], "doc_id bigint, text string")
