@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -109,6 +111,15 @@ def test_none_or_one_vector(spark, rows):
     assert similarity_clusters(df, "k", "e", DIM, "v").collect() == []
 
 
+def test_neighbours_of_the_sample_take_little_memory():
+    x = np.random.default_rng(15).standard_normal((4096, 16)).astype(np.float32)
+    tracemalloc.start()
+    nearest_of_sample(x, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
 def test_parts_are_balanced_and_the_router_finds_them():
     x = made(40, 50, 0).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
