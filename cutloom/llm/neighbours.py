@@ -199,7 +199,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
     large = F.broadcast(groups.where("salts > 1"))  # one row in COPIES vectors at most
     tagged = copies.join(large, "h", "left")
     small = tagged.where("rep IS NULL").select("h", key).join(groups.where("salts = 1"), "h")
-    copies = tagged.where("rep IS NOT NULL").select(key, "rep", "salts").unionByName(small.select(key, "rep", "salts")).persist()
+    copies = cut_lineage(tagged.where("rep IS NOT NULL").select(key, "rep", "salts").unionByName(small.select(key, "rep", "salts")))
     total_vectors = newest_vectors(df, key, vector, dim, version)
     others = copies.where(F.col(key) != F.col("rep")).select(key)
     vectors = total_vectors.join(others, key, "left_anti")
@@ -243,6 +243,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int, version: str
     else:
         routed = _cut_again(vectors.select(key, "vec"), router, key, kind, dim, probes, fine, count)
     found = routed.groupBy("part", "block").applyInArrow(search, f"`{key}` {kind}, neighbour {kind}, similarity double")
+    if near:  # few rows; the driver's memory holds one short plan at a time
+        found = cut_lineage(found)
 
     salted = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("s")
     many = copies.groupBy("rep").agg(F.first("salts").alias("salts"))

@@ -111,6 +111,19 @@ def test_none_or_one_vector(spark, rows):
     assert similarity_clusters(df, "k", "e", DIM, "v").collect() == []
 
 
+def test_near_neighbours_are_a_short_plan(spark):
+    """The driver plans anew after each stage: what was searched is a table by then, not a part of the plan."""
+    x = made(10, 5, 100, seed=16, noise=0.1)
+    x = np.vstack([x, x[:3]])
+    found = similar_vectors(frame(spark, x, BAD), "k", "e", DIM, "v", k=10, least=0.95, near=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [step for step in ("MapInArrow", "FlatMapGroupsInArrow", "InMemoryRelation") if step in plan]
+    near, s = nearest(x, 10)
+    got = {(r.k, r.neighbour, r["rank"]) for r in found.collect()}
+    assert {(a, b) for a, b, _ in got} == {(f"k{i:05d}", f"k{j:05d}") for i in range(len(x)) for j in near[i] if s[i, j] >= 0.95}
+    assert all((f"k{i:05d}", f"k{150 + i:05d}", 1) in got for i in range(3))
+
+
 def test_neighbours_of_the_sample_take_little_memory():
     x = np.random.default_rng(15).standard_normal((4096, 16)).astype(np.float32)
     tracemalloc.start()
